@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ridegauge.catalog.base import ORACLES, QUERIES
 
-SECTIONS = ("cleaning", "geography")
+SECTIONS = ("cleaning", "geography", "series")
 
 
 def _load() -> None:
