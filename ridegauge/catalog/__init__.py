@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ridegauge.catalog.base import ORACLES, QUERIES
 
-SECTIONS = ("cleaning", "geography", "series")
+SECTIONS = ("cleaning", "geography", "series", "stations")
 
 
 def _load() -> None:
