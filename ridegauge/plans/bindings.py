@@ -5,6 +5,8 @@ Every binding covers all rows of its tables; dirty text is planted by key arithm
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 from ridegauge.session import prepare
@@ -94,12 +96,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def bind(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """Run a binding against the tables of one scale directory."""
-    used = [t for t in TABLES if f" {t}" in sql.replace("\n", " ")]
-    frames = {t: table(spark, sf_dir, t) for t in used}
-    text = sql.replace("{", "{{").replace("}", "}}")
-    for t in used:
-        for word in ("FROM", "JOIN"):
-            text = text.replace(f"{word} {t} ", f"{word} {{{t}}} ").replace(f"{word} {t}\n", f"{word} {{{t}}}\n")
-            if text.endswith(f"{word} {t}"):
-                text = text[: -len(t)] + f"{{{t}}}"
-    return spark.sql(text, **frames)
+    named = re.compile(rf"\b(FROM|JOIN)\s+({'|'.join(TABLES)})\b")
+    used = {m.group(2) for m in named.finditer(sql)}
+    text = named.sub(r"\1 {\2}", sql.replace("{", "{{").replace("}", "}}"))
+    return spark.sql(text, **{t: table(spark, sf_dir, t) for t in used})
