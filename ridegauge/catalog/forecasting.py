@@ -17,14 +17,14 @@ STATION = StationForecastConfig()
 COMP = f"""sd AS ({SEGMENT_DAILY}), cg AS (SELECT series_id, CAST(unnest(generate_series(CAST(min(date) AS TIMESTAMP), CAST(max(date) AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS date FROM sd GROUP BY 1),
  comp AS (SELECT cg.series_id, cg.date, coalesce(sd.target, 0) AS target, CASE WHEN sd.target IS NULL THEN 1 ELSE 0 END AS missing_period_flag, 'system_level' AS series_scope
    FROM cg LEFT JOIN sd ON cg.series_id = sd.series_id AND cg.date = sd.date)"""
-WIN = f"""{COMP}, ix AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY date) - 1 AS i, count(*) OVER (PARTITION BY series_id) AS n FROM comp),
+WIN = f"""{COMP}, ix AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY date) - 1 AS i, count(*) OVER (PARTITION BY series_id) AS n FROM comp),
  cuts AS (SELECT series_id, horizon, unnest(range(730, n - horizon + 1, 7)) AS cut FROM (SELECT DISTINCT series_id, n FROM ix) q CROSS JOIN (VALUES (7), (30)) h(horizon)),
  kept AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY series_id, horizon ORDER BY cut DESC) <= 8),
- win AS (SELECT *, row_number() OVER (PARTITION BY series_id, horizon ORDER BY cut) AS fold_id FROM kept)"""
+ win AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY series_id, horizon ORDER BY cut) AS fold_id FROM kept)"""
 BACK = f"""{WIN}, d7 AS (SELECT series_id, i, target - lag(target, 7) OVER (PARTITION BY series_id ORDER BY date) AS d FROM ix),
- sc AS (SELECT w.series_id, w.horizon, w.fold_id, avg(abs(d)) AS s FROM win w JOIN d7 ON w.series_id = d7.series_id AND d7.i < w.cut GROUP BY 1, 2, 3),
- tst AS (SELECT w.*, x.date, x.target AS actual, x.i - w.cut + 1 AS step FROM win w JOIN ix x ON w.series_id = x.series_id AND x.i >= w.cut AND x.i < w.cut + w.horizon),
- pr AS (SELECT t.*, o.date AS train_end, m.model_name, coalesce(v.target, 0) AS prediction, CASE WHEN sc.s > 0 THEN sc.s ELSE 1 END AS mase_scale
+ sc AS MATERIALIZED (SELECT w.series_id, w.horizon, w.fold_id, avg(abs(d)) AS s FROM win w JOIN d7 ON w.series_id = d7.series_id AND d7.i < w.cut GROUP BY 1, 2, 3),
+ tst AS MATERIALIZED (SELECT w.*, x.date, x.target AS actual, x.i - w.cut + 1 AS step FROM win w JOIN ix x ON w.series_id = x.series_id AND x.i >= w.cut AND x.i < w.cut + w.horizon),
+ pr AS MATERIALIZED (SELECT t.*, o.date AS train_end, m.model_name, coalesce(v.target, 0) AS prediction, CASE WHEN sc.s > 0 THEN sc.s ELSE 1 END AS mase_scale
    FROM tst t CROSS JOIN (VALUES ('naive', 1), ('seasonal_naive_7', 7), ('seasonal_naive_30', 30)) m(model_name, p)
    JOIN ix o ON o.series_id = t.series_id AND o.i = t.cut - 1
    JOIN ix v ON v.series_id = t.series_id AND v.i = t.cut - m.p + (t.step - 1) % m.p
@@ -74,7 +74,7 @@ def _(spark, sf):
     return ft.complete_target(rows, KEYS, "keep_na_with_flag", order=["o_orderkey"])
 
 
-@query("k02_future_dates", f"WITH {COMP} SELECT series_id, CAST(max(date) + unnest(range(1, 31)) AS DATE) AS date, unnest(range(1, 31)) AS horizon_step FROM comp GROUP BY series_id")
+@query("k02_future_dates", f"WITH {COMP} SELECT series_id, CAST(z + CAST(s AS INT) AS DATE) AS date, s AS horizon_step FROM (SELECT series_id, max(date) AS z FROM comp GROUP BY 1) q CROSS JOIN (SELECT unnest(range(1, 31)) AS s) k")
 def _(spark, sf):
     return ft.future_dates(target(spark, sf), KEYS, 30)
 
@@ -512,13 +512,13 @@ def intervalized(spark, sf):
 
 @query(
     "m19_interval_quality",
-    f"""WITH {QUAL} SELECT model_name, horizon, {_COV}, round(avg(CASE WHEN actual < l8 THEN u8 - l8 + 10 * (l8 - actual) WHEN actual > u8 THEN u8 - l8 + 10 * (actual - u8) ELSE u8 - l8 END), 6) AS mean_winkler_80,
-    round(avg(CASE WHEN actual < l9 THEN u9 - l9 + 40 * (l9 - actual) WHEN actual > u9 THEN u9 - l9 + 40 * (actual - u9) ELSE u9 - l9 END), 6) AS mean_winkler_95 FROM ap GROUP BY 1, 2""",
+    f"""WITH {QUAL} SELECT model_name, horizon, {_COV.replace(', 6)', ', 5)')}, round(avg(CASE WHEN actual < l8 THEN u8 - l8 + 10 * (l8 - actual) WHEN actual > u8 THEN u8 - l8 + 10 * (actual - u8) ELSE u8 - l8 END), 5) AS mean_winkler_80,
+    round(avg(CASE WHEN actual < l9 THEN u9 - l9 + 40 * (l9 - actual) WHEN actual > u9 THEN u9 - l9 + 40 * (actual - u9) ELSE u9 - l9 END), 5) AS mean_winkler_95 FROM ap GROUP BY 1, 2""",
 )
 def _(spark, sf):
-    return rounded(iv.interval_quality(intervalized(spark, sf)))
+    return rounded(iv.interval_quality(intervalized(spark, sf)), 5)
 
 
-@query("m19_interval_quality_by_step", f"WITH {QUAL} SELECT model_name, horizon, horizon_step, {_COV} FROM ap GROUP BY 1, 2, 3")
+@query("m19_interval_quality_by_step", f"WITH {QUAL} SELECT model_name, horizon, horizon_step, {_COV.replace(', 6)', ', 5)')} FROM ap GROUP BY 1, 2, 3")
 def _(spark, sf):
-    return rounded(iv.interval_quality(intervalized(spark, sf), by_step=True))
+    return rounded(iv.interval_quality(intervalized(spark, sf), by_step=True), 5)
