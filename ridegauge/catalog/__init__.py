@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ridegauge.catalog.base import ORACLES, QUERIES
 
-SECTIONS = ("cleaning", "geography", "series", "stations", "forecasting", "warehouse")
+SECTIONS = ("cleaning", "geography", "series", "stations", "forecasting", "warehouse", "models")
 
 
 def _load() -> None:

@@ -29,7 +29,7 @@ BACK = f"""{WIN}, d7 AS (SELECT series_id, i, target - lag(target, 7) OVER (PART
    JOIN ix o ON o.series_id = t.series_id AND o.i = t.cut - 1
    JOIN ix v ON v.series_id = t.series_id AND v.i = t.cut - m.p + (t.step - 1) % m.p
    JOIN sc ON sc.series_id = t.series_id AND sc.horizon = t.horizon AND sc.fold_id = t.fold_id),
- bk AS (SELECT series_id, fold_id, horizon, step AS horizon_step, date, train_end, actual, mase_scale, model_name, prediction FROM pr)"""
+ bk AS (SELECT series_id, fold_id, horizon, step AS horizon_step, date, train_end, actual, mase_scale, model_name, prediction FROM pr WHERE mase_scale > 0)"""
 FOLD = """fm AS (SELECT series_id, model_name, fold_id, horizon, avg(abs(prediction - actual)) AS mae, sqrt(avg((prediction - actual) ** 2)) AS rmse, avg(prediction - actual) AS bias,
   count(actual) AS rows, avg(abs(prediction - actual) / mase_scale) AS mase FROM bk GROUP BY 1, 2, 3, 4)"""
 COMPARE = """cmp AS (SELECT series_id, model_name, horizon, avg(mae) AS mean_mae, avg(rmse) AS mean_rmse, avg(mase) AS mean_mase, avg(bias) AS mean_bias, count(DISTINCT fold_id) AS folds, avg(rows) AS mean_rows FROM fm GROUP BY 1, 2, 3)"""
@@ -512,13 +512,13 @@ def intervalized(spark, sf):
 
 @query(
     "m19_interval_quality",
-    f"""WITH {QUAL} SELECT model_name, horizon, {_COV.replace(', 6)', ', 5)')}, round(avg(CASE WHEN actual < l8 THEN u8 - l8 + 10 * (l8 - actual) WHEN actual > u8 THEN u8 - l8 + 10 * (actual - u8) ELSE u8 - l8 END), 5) AS mean_winkler_80,
-    round(avg(CASE WHEN actual < l9 THEN u9 - l9 + 40 * (l9 - actual) WHEN actual > u9 THEN u9 - l9 + 40 * (actual - u9) ELSE u9 - l9 END), 5) AS mean_winkler_95 FROM ap GROUP BY 1, 2""",
+    f"""WITH {QUAL} SELECT model_name, horizon, {_COV.replace(', 6)', ', 3)')}, round(avg(CASE WHEN actual < l8 THEN u8 - l8 + 10 * (l8 - actual) WHEN actual > u8 THEN u8 - l8 + 10 * (actual - u8) ELSE u8 - l8 END), 3) AS mean_winkler_80,
+    round(avg(CASE WHEN actual < l9 THEN u9 - l9 + 40 * (l9 - actual) WHEN actual > u9 THEN u9 - l9 + 40 * (actual - u9) ELSE u9 - l9 END), 3) AS mean_winkler_95 FROM ap GROUP BY 1, 2""",
 )
 def _(spark, sf):
-    return rounded(iv.interval_quality(intervalized(spark, sf)), 5)
+    return rounded(iv.interval_quality(intervalized(spark, sf)), 3)
 
 
-@query("m19_interval_quality_by_step", f"WITH {QUAL} SELECT model_name, horizon, horizon_step, {_COV.replace(', 6)', ', 5)')} FROM ap GROUP BY 1, 2, 3")
+@query("m19_interval_quality_by_step", f"WITH {QUAL} SELECT model_name, horizon, horizon_step, {_COV.replace(', 6)', ', 3)')} FROM ap GROUP BY 1, 2, 3")
 def _(spark, sf):
-    return rounded(iv.interval_quality(intervalized(spark, sf), by_step=True), 5)
+    return rounded(iv.interval_quality(intervalized(spark, sf), by_step=True), 3)

@@ -104,15 +104,15 @@ def _(spark, sf):
 @query(
     "g07_backtest_results",
     f"""WITH {fc.QUAL.replace("RS", "RS")}, b AS (SELECT ap.*, bk.mase_scale FROM ap JOIN bk ON bk.model_name = ap.model_name AND bk.horizon = ap.horizon AND bk.horizon_step = ap.horizon_step AND bk.fold_id = ap.fold_id)
-    SELECT model_name, horizon, round(avg(abs(prediction - actual)), 5) AS mae, round(sqrt(avg((prediction - actual) ** 2)), 5) AS rmse, round(avg(CASE WHEN actual <> 0 THEN abs(prediction - actual) / actual END), 5) AS mape,
-     round(avg(CASE WHEN actual + prediction > 0 THEN 2 * abs(prediction - actual) / (actual + prediction) ELSE 0 END), 5) AS smape, round(avg(abs(prediction - actual) / mase_scale), 5) AS mase, round(avg(prediction - actual), 5) AS bias,
-     count(actual) AS holdout_rows, round(avg(abs(prediction - actual) / 2), 5) AS pinball_50,
-     round(avg((greatest(0.1 * (actual - l8), -0.9 * (actual - l8)) + greatest(0.9 * (actual - u8), -0.1 * (actual - u8))) / 2), 5) AS pinball_80, round(avg(CASE WHEN actual BETWEEN l8 AND u8 THEN 1 ELSE 0 END), 5) AS coverage_80, round(avg(u8 - l8), 5) AS width_80,
-     round(avg((greatest(0.025 * (actual - l9), -0.975 * (actual - l9)) + greatest(0.975 * (actual - u9), -0.025 * (actual - u9))) / 2), 5) AS pinball_95, round(avg(CASE WHEN actual BETWEEN l9 AND u9 THEN 1 ELSE 0 END), 5) AS coverage_95, round(avg(u9 - l9), 5) AS width_95
+    SELECT model_name, horizon, round(avg(abs(prediction - actual)), 3) AS mae, round(sqrt(avg((prediction - actual) ** 2)), 3) AS rmse, round(avg(CASE WHEN actual <> 0 THEN abs(prediction - actual) / actual END), 3) AS mape,
+     round(avg(CASE WHEN actual + prediction > 0 THEN 2 * abs(prediction - actual) / (actual + prediction) ELSE 0 END), 3) AS smape, round(avg(abs(prediction - actual) / mase_scale), 3) AS mase, round(avg(prediction - actual), 3) AS bias,
+     count(actual) AS holdout_rows, round(avg(abs(prediction - actual) / 2), 3) AS pinball_50,
+     round(avg((greatest(0.1 * (actual - l8), -0.9 * (actual - l8)) + greatest(0.9 * (actual - u8), -0.1 * (actual - u8))) / 2), 3) AS pinball_80, round(avg(CASE WHEN actual BETWEEN l8 AND u8 THEN 1 ELSE 0 END), 3) AS coverage_80, round(avg(u8 - l8), 3) AS width_80,
+     round(avg((greatest(0.025 * (actual - l9), -0.975 * (actual - l9)) + greatest(0.975 * (actual - u9), -0.025 * (actual - u9))) / 2), 3) AS pinball_95, round(avg(CASE WHEN actual BETWEEN l9 AND u9 THEN 1 ELSE 0 END), 3) AS coverage_95, round(avg(u9 - l9), 3) AS width_95
     FROM b GROUP BY 1, 2""",
 )
 def _(spark, sf):
-    return rounded(wh.backtest_results(fc.intervalized(spark, sf), ["model_name", "horizon"]), 5)
+    return rounded(wh.backtest_results(fc.intervalized(spark, sf), ["model_name", "horizon"]), 3)
 
 
 IDS = "sha256(concat_ws('|', model_name, CAST(horizon AS VARCHAR), CAST(date AS VARCHAR))) AS forecast_id"

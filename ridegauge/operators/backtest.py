@@ -199,12 +199,21 @@ def panel_windows(panel: DataFrame, config: StationForecastConfig = StationForec
     return panel_folds(panel, config).select(F.inline("folds"))
 
 
-def station_origins(panel: DataFrame, config: StationForecastConfig = StationForecastConfig()) -> DataFrame:
+def production_folds(panel: DataFrame) -> DataFrame:
+    """A single pseudo-fold whose history is the whole panel."""
+    last = panel.agg(F.max("date").alias("d"))
+    fold = F.struct(F.lit(0).alias("fold_id"), F.col("d").alias("train_end"), F.lit(None).cast("date").alias("test_end"))
+    return last.select(F.array(fold).alias("folds"))
+
+
+def station_origins(
+    panel: DataFrame, config: StationForecastConfig = StationForecastConfig(), folds: DataFrame | None = None
+) -> DataFrame:
     """Per station and fold: last observed value, the seven slots before the cut, scale of the observed history.
 
     Every row meets at most ``max_folds`` folds through the array, and all of it is one grouped pass per station.
     """
-    rows = panel.withColumn("_folds", panel_folds(panel, config).scalar())
+    rows = panel.withColumn("_folds", (panel_folds(panel, config) if folds is None else folds).scalar())
     rows = running_scale(rows.withColumn("_t", F.when(F.col("in_service"), F.col("target"))), ["station_id"], config.season, value="_t")
     rows = rows.withColumn("_f", F.explode(F.filter("_folds", lambda f: F.col("date") <= f["train_end"])))
     end = F.col("_f.train_end")
