@@ -8,8 +8,8 @@ from ridegauge.catalog.base import query, rounded
 from ridegauge.catalog.cleaning import CLEAN, CLEAN_STATIONS, flat, stations, trips
 from ridegauge.functions import points as pt
 from ridegauge.operators import geo, kmeans as km, marts
-from ridegauge.operators.keyed import rows_at_most
 from ridegauge.plans.bindings import PLACES, SPOTS, bind, table
+from ridegauge.session import cut_lineage
 
 ATTR_DOC = (
     "'{\"type\":\"FeatureCollection\",\"features\":[' || string_agg('{\"attributes\":{\"Name\":\"' || s_name || ' Metro Station\",\"city\":\"C' || "
@@ -198,7 +198,7 @@ def duration_pts(spark, sf):
 
 
 def duration_km(spark, sf, iterations=3):
-    pts = duration_pts(spark, sf)
+    pts = cut_lineage(duration_pts(spark, sf))
     return pts, km.kmeans(pts, DURATION_SEEDS, iterations)
 
 

@@ -56,8 +56,10 @@ def check_duration(c: Column) -> Column:
 
 
 def parse_timestamp(c: Column) -> Column:
-    parsed = [F.try_to_timestamp(c, F.lit(fmt)) for fmt in TIMESTAMP_FORMATS]
-    return F.coalesce(*parsed).cast("timestamp_ntz")
+    """Dispatch on the shape of the text, so a value is parsed once and only bad values pay for a failed parse."""
+    slash, plain, minutes, iso = (F.try_to_timestamp(c, F.lit(fmt)) for fmt in TIMESTAMP_FORMATS)
+    parsed = F.when(c.contains("/"), slash).when(c.contains("T"), iso).when(F.length(c) <= 16, minutes).otherwise(plain)
+    return parsed.cast("timestamp_ntz")
 
 
 def is_date(c: Column) -> Column:
@@ -69,7 +71,8 @@ def check_date(c: Column) -> Column:
 
 
 def parse_day(c: Column) -> Column:
-    return F.coalesce(*[F.try_to_timestamp(c, F.lit(fmt)).cast("date") for fmt in DATE_FORMATS])
+    slash, plain = (F.try_to_timestamp(c, F.lit(fmt)).cast("date") for fmt in DATE_FORMATS)
+    return F.when(c.contains("/"), slash).otherwise(plain)
 
 
 def is_day(c: Column) -> Column:

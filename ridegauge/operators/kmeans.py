@@ -6,6 +6,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ridegauge.session import cut_lineage
+
 
 @dataclass(frozen=True)
 class Center:
@@ -65,14 +67,10 @@ def _collect_centers(frame: DataFrame) -> list[Center]:
 
 def iterate(points: DataFrame, seeds: list[Center], iterations: int) -> tuple[list[Center], list[Center]]:
     """Centres that made the last assignment and centres after it; the driver holds k rows per round, never points."""
-    cached = points.persist()
-    try:
-        previous = current = seeds
-        for _ in range(iterations):
-            previous, current = current, _collect_centers(update(assign(cached, current)))
-        return previous, current
-    finally:
-        cached.unpersist()
+    previous = current = seeds
+    for _ in range(iterations):
+        previous, current = current, _collect_centers(update(assign(points, current)))
+    return previous, current
 
 
 def _mean_columns(df: DataFrame, centers: list[Center]) -> DataFrame:
@@ -81,7 +79,11 @@ def _mean_columns(df: DataFrame, centers: list[Center]) -> DataFrame:
 
 
 def kmeans(points: DataFrame, ids: list[int], iterations: int) -> DataFrame:
-    """``label, x, y, cluster, mean_x, mean_y`` after a fixed number of rounds."""
+    """``label, x, y, cluster, mean_x, mean_y`` after a fixed number of rounds.
+
+    The points (one row per label, not per trip) are checkpointed once, so no round goes back to the fact.
+    """
+    points = cut_lineage(points)
     before, after = iterate(points, seed_centers(points, ids), iterations)
     return _mean_columns(assign(points, before), after)
 
@@ -89,6 +91,7 @@ def kmeans(points: DataFrame, ids: list[int], iterations: int) -> DataFrame:
 def kmeans_delta(points: DataFrame, ids: list[int], iterations: int) -> DataFrame:
     """Rows of the last round that were not already there one round earlier; empty means converged."""
     columns = ["label", "cluster", "mean_x", "mean_y"]
+    points = cut_lineage(points)
     last = kmeans(points, ids, iterations).select(*columns)
     return last.exceptAll(kmeans(points, ids, iterations - 1).select(*columns))
 
@@ -114,6 +117,7 @@ def wcss(clustered: DataFrame) -> DataFrame:
 
 def elbow(points: DataFrame, ks: tuple[int, ...] = (2, 3, 4, 5), iterations: int = 10) -> DataFrame:
     """Within-cluster sum of squares per k, seeds spread evenly over the label order."""
+    points = cut_lineage(points)
     head = min(points.count(), 1000)
     out = None
     for k in ks:
