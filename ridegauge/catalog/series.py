@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ridegauge.catalog.base import query, rounded
+from ridegauge.catalog.base import NUDGE, query, rounded
 from ridegauge.operators import diagnosis as dg, timeindex as ti
 from ridegauge.plans.bindings import bind, table
 from ridegauge.plans.diagnose import diagnose
@@ -318,9 +318,10 @@ def _(spark, sf):
     WINDOW w AS (PARTITION BY series_id ORDER BY timestamp ROWS BETWEEN 27 PRECEDING AND CURRENT ROW)""",
 )
 def _(spark, sf):
-    return dg.rolling_stats(prepared(spark, sf), KEYS, 28).select(
-        "series_id", "timestamp", F.round("rolling_mean", 5).alias("rolling_mean"),
-        F.round("rolling_variance", 4).alias("rolling_variance"),
+    rows = dg.rolling_stats(prepared(spark, sf), KEYS, 28)
+    return rows.select(
+        "series_id", "timestamp", F.round(F.col("rolling_mean") + NUDGE, 5).alias("rolling_mean"),
+        F.round(F.col("rolling_variance") + NUDGE, 4).alias("rolling_variance"),
     )
 
 

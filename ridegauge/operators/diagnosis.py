@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from ridegauge.functions.stats import unbiased_kurtosis, unbiased_skew
+from ridegauge.operators.keyed import broadcast_if_small, exact_quantiles
 from ridegauge.operators.linear import fleet_ols
 
 Keys = Sequence[str]
@@ -367,7 +368,7 @@ def histogram(df: DataFrame, keys: Keys, value: str, bins: int = 30) -> DataFram
     v = F.col(value)
     bounds = df.filter(v.isNotNull()).groupBy(*keys).agg(F.min(v).alias("_lo"), F.max(v).alias("_hi"))
     rows = df.filter(v.isNotNull())
-    rows = rows.join(bounds, list(keys)) if keys else rows.withColumns(
+    rows = rows.join(broadcast_if_small(bounds), list(keys)) if keys else rows.withColumns(
         {c: bounds.select(c).scalar() for c in ("_lo", "_hi")}
     )
     width = (F.col("_hi") - F.col("_lo")) / bins
@@ -381,8 +382,6 @@ def histogram(df: DataFrame, keys: Keys, value: str, bins: int = 30) -> DataFram
 
 def box_stats(df: DataFrame, keys: Keys, value: str) -> DataFrame:
     """Quartiles and extremes; exact, and no task holds a whole group."""
-    from ridegauge.operators.keyed import exact_quantiles
-
     probs = {"minimum": 0.0, "q25": 0.25, "median": 0.5, "q75": 0.75, "maximum": 1.0}
     return exact_quantiles(df, keys, value, probs)
 

@@ -497,8 +497,9 @@ def validation_checks(daily: DataFrame, config: StationConfig = StationConfig())
         F.sum(F.col("warning_too_few_usable_days").cast("int")).alias("stations_with_too_little_usable_data"),
         F.sum(F.col("warning_long_missing_gap").cast("int")).alias("stations_with_long_missing_spans"),
     )
-    # Three one-row aggregates side by side.
-    one = errors.crossJoin(F.broadcast(spikes)).crossJoin(F.broadcast(warned))
+    one = errors.withColumns(
+        {c: frame.select(c).scalar() for frame in (spikes, warned) for c in frame.columns}  # one-row aggregates
+    )
     messages = {
         "invalid_dates": "Rows with unparsable or missing dates are not allowed.",
         "blank_station_ids": "Station identifiers must be non-empty after normalization.",

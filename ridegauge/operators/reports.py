@@ -69,19 +69,14 @@ def slice_summary(slices: DataFrame, horizon: int) -> DataFrame:
 
 
 def category_members(forecasts: DataFrame, categories: Sequence[str] = DEFAULT_CATEGORIES) -> DataFrame:
-    """Stations of the named categories, or the first four stations when none occurs.
-
-    The answer lists station ids of one category, as the picker it feeds does.
-    """
-    named = (
-        forecasts.filter(F.col("station_category").isin(*categories))
-        .groupBy(F.col("station_category").alias("label"))
-        .agg(F.array_sort(F.collect_set(F.col("station_id").cast("string"))).alias("stations"))
-    )
+    """``label, station_id`` rows of the named categories, or the first four stations when none occurs."""
+    station = F.col("station_id").cast("string").alias("station_id")
+    named = forecasts.filter(F.col("station_category").isin(*categories)).select(
+        F.col("station_category").alias("label"), station
+    ).distinct()
     if not named.isEmpty():
-        return named
-    first = forecasts.select(F.col("station_id").cast("string").alias("s")).distinct().orderBy("s").limit(4)
-    return first.agg(F.array_sort(F.collect_list("s")).alias("stations")).select(F.lit("example_1").alias("label"), "stations")
+        return named.orderBy("label", "station_id")
+    return forecasts.select(F.lit("example_1").alias("label"), station).distinct().orderBy("station_id").limit(4)
 
 
 def top_label(df: DataFrame, label: str, value: str, keys: Sequence[str] = ()) -> DataFrame:

@@ -52,13 +52,19 @@ def regularize(collapsed: DataFrame, keys: Keys, frequency: str = "daily") -> Da
         "_max", F.max("timestamp").over(series)
     )
     start = _first_anchor(F.col("_min"), frequency)
-    rows = bounded.withColumn("_start", start).filter(_on_grid(F.col("timestamp"), F.col("_start"), frequency))
+    placed = bounded.withColumn("_start", start).withColumn(
+        "_on", _on_grid(F.col("timestamp"), F.col("_start"), frequency)
+    )
+    # A series without any observation on the grid still has one; its first row carries it.
+    carrier = ~F.max("_on").over(series) & (F.col("timestamp") == F.col("_min"))
+    rows = placed.withColumn("_carrier", carrier).filter("_on OR _carrier")
     rows = rows.withColumn("_prev", F.lag("timestamp").over(ordered)).withColumn(
         "_next", F.lead("timestamp").over(ordered)
     )
     first = F.when(F.col("_prev").isNull(), F.col("_start")).otherwise(F.col("timestamp"))
     last = F.when(F.col("_next").isNull(), F.col("_max")).otherwise(F.col("_next") - step)
     grid = rows.withColumn("_slot", F.explode(F.sequence(first, F.greatest(first, last), step)))
+    grid = grid.filter(F.col("_slot") <= F.col("_max"))
     here = F.col("_slot") == F.col("timestamp")
     return grid.select(
         *keys,
@@ -145,7 +151,10 @@ def index_summary(collapsed: DataFrame, prepared: DataFrame, keys: Keys) -> Data
         F.min("timestamp").alias("timestamp_start"),
         F.max("timestamp").alias("timestamp_end"),
     )
-    joined = source.join(grid, list(keys)) if keys else source.crossJoin(F.broadcast(grid))  # one row each
+    if keys:
+        joined = source.join(grid, list(keys))
+    else:
+        joined = source.withColumns({c: grid.select(c).scalar() for c in grid.columns})  # one row each
     return joined.withColumn("time_index_reliable", F.col("irregular_spacing_count") == 0)
 
 

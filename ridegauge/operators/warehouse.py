@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ridegauge.config import FREQUENCY_STEP
-from ridegauge.operators.keyed import last_per_key
+from ridegauge.operators.keyed import broadcast_if_small, global_rank, per_date
+from ridegauge.session import cut_lineage
 
 GRAIN_UNIT = {"hourly": "hour", "daily": "day", "weekly": "week", "monthly": "month", "quarterly": "quarter"}
 SEGMENT = ["segment_type", "segment_id"]
@@ -128,9 +129,6 @@ def modeling_registry(panel: DataFrame, recent_days: int = 90, min_observed: int
         F.avg((t == 0).cast("int")).alias("zero_share"),
         F.coalesce(F.sum(recent), F.lit(0.0)).alias("_recent"),
     )
-    from ridegauge.operators.keyed import broadcast_if_small, global_rank
-    from ridegauge.session import cut_lineage
-
     facts = cut_lineage(facts)
     sizes = facts.groupBy("total_trip_count").agg(F.count(F.lit(1)).alias("_c"), (-F.col("total_trip_count")).alias("_neg"))
     ordered = global_rank(sizes, ["_neg"], "_pos")
@@ -224,8 +222,6 @@ def reconcile(total: DataFrame, stations: DataFrame, shares: DataFrame | None =
     Stations without a forecast (``shares``: ``station_id, share``) receive the remainder by share first. Date totals are
     a grouped sum joined back, so one date with all stations is never a single window group.
     """
-    from ridegauge.operators.keyed import broadcast_if_small, per_date
-
     totals = total.select("date", F.col("prediction").alias("_total"))
     rows = stations.select("date", "station_id", "prediction", F.lit(True).alias("modelled"))
     sums = rows.groupBy("date").agg(F.sum("prediction").alias("_sum"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ridegauge.config import SeriesDiagnosisConfig
 from ridegauge.operators import diagnosis as dg, timeindex as ti
+from ridegauge.session import cut_lineage
 
 
 def diagnose(
@@ -17,7 +18,7 @@ def diagnose(
     keys = list(keys)
     candidates, fallback = config.candidate_periods, config.fallback_period
     collapsed = ti.collapse(df, keys, ts, value)
-    series = ti.prepare_series(df, keys, ts, value, config.frequency).persist()
+    series = cut_lineage(ti.prepare_series(df, keys, ts, value, config.frequency))  # read by every diagnostic
     periods = tuple(c for c in candidates if c <= 30)[:3] or (fallback,)
     spectrum = dg.periodogram(series, keys)
     peaks = dg.spectral_peaks(spectrum, keys, candidates)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ridegauge import schemas
 from ridegauge.config import KNOWN_FUTURE_PREFIXES
@@ -140,8 +140,6 @@ def station_panel(
     order_col: str | None = None,
 ) -> DataFrame:
     """Service-bounded station panel: last duplicate wins, rows outside first..last in-service date are dropped."""
-    from pyspark.sql import Window as W
-
     require_columns(aggregate, [date_col, station_col, target_col, in_service_col, "segment_type"])
     seq = F.col(order_col) if order_col else F.monotonically_increasing_id()
     rows = aggregate.filter(F.col("segment_type").cast("string") == segment_type).select(
