@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -16,9 +17,7 @@ NUDGE = 1e-9  # moves decimal ties off the rounding boundary, so that summation
 
 def _nudged(sql: str) -> str:
     """The oracle's counterpart of :func:`rounded`; adding 0.0 turns -0.0 into 0.0."""
-    for before in (", ", "SELECT ", "THEN "):
-        sql = sql.replace(f"{before}round(", f"{before}0.0 + round(1e-9 + ")
-    return sql
+    return re.sub(r"(,\s*|SELECT\s+|THEN\s+)round\(", r"\g<1>0.0 + round(1e-9 + ", sql)
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
