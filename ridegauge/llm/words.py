@@ -53,15 +53,14 @@ class _Numbers(dict):
 
 
 class WordCoder:
-    """Encodes batches of whole texts. ``start`` and ``size`` place a word's ids in ``ids``; ``on_new`` is told of every new word's ids."""
+    """Encodes batches of whole texts. ``start`` and ``size`` place a word's ids in ``ids``."""
 
-    def __init__(self, path: str, on_new=None):
+    def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.on_new = on_new
         split = ((spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
         steps = [n.get("type") for n in (spec.get("normalizer") or {}).get("normalizers") or []]
         self.by_word = split.get("pattern") == {"Regex": _WORD_SPLIT} and steps == ["NFC", "Replace", "Lowercase"] and not spec.get("post_processor")
@@ -83,11 +82,11 @@ class WordCoder:
         """Words whose ids, one after the other, are the text's ids.
 
         Capitals A-Z become small first and closing marks are set apart, unless the text holds combining marks (which compose with
-        some small letters only) or something that small letters could turn into a special token.
+        some small letters only; U+0130 becomes one) or something that small letters could turn into a special token.
         """
         if not self.by_word:
             return [data] if data else []
-        if b"\xcc" not in data and b"\xcd" not in data and b"<|" not in data:
+        if b"\xcc" not in data and b"\xcd" not in data and b"<|" not in data and b"\xc4\xb0" not in data:
             data = data.lower()
             outline = data.translate(_OUTLINE)
             if b"!." in outline or b".." in outline or b".!" in outline or b"X" in outline or b"\xc3\x97" in data or b"\xc3\xb7" in data:
@@ -139,17 +138,28 @@ class WordCoder:
         back[order] = np.arange(len(order)) + first
         self.start[first : self.words] = self.start[back]
         self.size[first : self.words] = sizes
-        if self.on_new:
-            self.on_new(self, first)
 
-    def codes(self, texts: list[bytes]) -> list[list[int]]:
-        """For each text the numbers of its words. Numbers hold until the next call."""
+    def begin(self) -> bool:
+        """Start a batch; True if all word numbers were forgotten to stay within the memory bound."""
         if self.words > MEMO_WORDS:
             self.forget()
+            return True
+        return False
+
+    def numbers(self, data: bytes) -> list[int]:
+        """Word numbers of a text; their ids are there after :meth:`finish`."""
         number = self.number
-        out = [[number[w] for w in self.split(t)] for t in texts]
-        if number.new:
+        return [number[w] for w in self.split(data)]
+
+    def finish(self) -> None:
+        if self.number.new:
             self._learn()
+
+    def codes(self, texts: list[bytes]) -> list[list[int]]:
+        """For each text the numbers of its words. Numbers hold until the next call."""
+        self.begin()
+        out = [self.numbers(t) for t in texts]
+        self.finish()
         return out
 
     def ids_of(self, codes: list[int]) -> np.ndarray:
