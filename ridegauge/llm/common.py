@@ -73,13 +73,15 @@ def fresh(df: DataFrame, base: str) -> str:
 def add_columns(df: DataFrame, fields: str, of_texts, text: str = "text") -> DataFrame:
     """Pass every row of ``df`` through and append columns that ``of_texts`` makes from its texts, batch by batch.
 
-    ``fields`` is a schema string of the new columns; ``of_texts(list of str or None)`` returns one list or array for each.
+    ``fields`` is a schema string of the new columns; ``of_texts(list of str or None)`` returns one list or array for each. A column
+    that has the name of a new one is replaced.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
     new = StructType.fromDDL(fields)
     target = to_arrow_schema(new)
+    df = df.drop(*[c for c in df.columns if c != text and c.lower() in {n.lower() for n in new.names}])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
