@@ -363,9 +363,12 @@ def _(spark, sf):
     return op.year_trips(op.union_years(*quarters), 1997).select("trip_id", "start_time", "source_quarter")
 
 
-@query("c09_preview")
+PREVIEW_ORDER = ("trip_id", "start_time", "end_time", "duration_minutes", "start_station", "end_station", "bike_id", "source_file")
+
+
+@query("c09_preview", f"WITH {CLEAN} SELECT * FROM clean ORDER BY {', '.join(PREVIEW_ORDER)} LIMIT 10")
 def _(spark, sf):
-    return flat(op.preview(trips(spark, sf), 10))
+    return flat(op.preview(trips(spark, sf), 10, PREVIEW_ORDER))
 
 
 @query(

@@ -165,39 +165,38 @@ def _(spark, sf):
 
 # ---- k-means -------------------------------------------------------------------------------------------------------
 
-DPOINTS = f"{CLEAN}, pts AS (SELECT duration_minutes AS label, CAST(duration_minutes AS DOUBLE) AS x, CAST(count(*) AS DOUBLE) AS y FROM clean WHERE duration_minutes < 1111111111 GROUP BY 1)"
+DPOINTS = f"{CLEAN}, pts AS (SELECT duration_minutes AS label, CAST(duration_minutes AS DOUBLE) AS x, CAST(count(*) AS DOUBLE) AS y FROM clean GROUP BY 1)"
 SPOINTS = f"{CLEAN}, pts AS (SELECT start_station AS label, CAST(count(*) AS DOUBLE) AS x, CAST(0 AS DOUBLE) AS y FROM clean GROUP BY 1)"
 DURATION_SEEDS = [4, 33, 57, 98]
 STATION_SEEDS = [2, 15, 40, 77]
+DURATION_ROUNDS, STATION_ROUNDS, ELBOW_ROUNDS = 10, 15, 10
 
 
-def unrolled(points: str, seeds: list[int], iterations: int) -> str:
-    """K-means as a chain of CTEs: a{n} is the assignment of round n, m{n} the centres after it."""
-    parts = [
-        points,
-        f"ids AS (SELECT *, row_number() OVER (ORDER BY label) AS id FROM pts)",
-        f"m0 AS (SELECT row_number() OVER (ORDER BY id) AS cluster, x AS mx, y AS my FROM ids WHERE id IN ({', '.join(map(str, seeds))}))",
-    ]
+def unrolled(points: str, seeds: list[int], iterations: int, p: str = "", where: str = "") -> str:
+    """K-means as a chain of CTEs: a{n} is the assignment of round n, m{n} the centres after it; ``p`` prefixes their names."""
+    chosen = where or f"id IN ({', '.join(map(str, seeds))})"
+    parts = [points, "ids AS (SELECT *, row_number() OVER (ORDER BY label) AS id FROM pts)"] if points else []
+    parts.append(f"{p}m0 AS (SELECT row_number() OVER (ORDER BY id) AS cluster, x AS mx, y AS my FROM ids WHERE {chosen})")
     for i in range(1, iterations + 1):
         parts.append(
-            f"a{i} AS (SELECT label, x, y, cluster FROM pts CROSS JOIN m{i - 1} QUALIFY row_number() OVER (PARTITION BY label "
+            f"{p}a{i} AS (SELECT label, x, y, cluster FROM pts CROSS JOIN {p}m{i - 1} QUALIFY row_number() OVER (PARTITION BY label "
             f"ORDER BY sqrt((x - mx) * (x - mx) + (y - my) * (y - my)), cluster) = 1)"
         )
-        parts.append(f"m{i} AS (SELECT cluster, avg(x) AS mx, avg(y) AS my FROM a{i} GROUP BY 1)")
+        parts.append(f"{p}m{i} AS (SELECT cluster, avg(x) AS mx, avg(y) AS my FROM {p}a{i} GROUP BY 1)")
     n = iterations
-    parts.append(f"km AS (SELECT label, x, y, cluster, mx AS mean_x, my AS mean_y FROM a{n} JOIN m{n} USING (cluster))")
+    parts.append(f"{p}km AS (SELECT label, x, y, cluster, mx AS mean_x, my AS mean_y FROM {p}a{n} JOIN {p}m{n} USING (cluster))")
     parts.append(
-        "cls AS (SELECT cluster, mean_x, mean_y, dense_rank() OVER (ORDER BY mean_x DESC, mean_y DESC) AS class "
-        "FROM (SELECT DISTINCT cluster, mean_x, mean_y FROM km) c)"
+        f"{p}cls AS (SELECT cluster, mean_x, mean_y, dense_rank() OVER (ORDER BY mean_x DESC, mean_y DESC) AS class "
+        f"FROM (SELECT DISTINCT cluster, mean_x, mean_y FROM {p}km) c)"
     )
     return ", ".join(parts)
 
 
 def duration_pts(spark, sf):
-    return km.duration_points(trips(spark, sf).filter("duration_minutes < 1111111111"))
+    return km.duration_points(trips(spark, sf))
 
 
-def duration_km(spark, sf, iterations=3):
+def duration_km(spark, sf, iterations=DURATION_ROUNDS):
     pts = cut_lineage(duration_pts(spark, sf))
     return pts, km.kmeans(pts, DURATION_SEEDS, iterations)
 
@@ -232,7 +231,7 @@ def _(spark, sf):
 
 @query(
     "e06_kmeans_durations",
-    f"WITH {unrolled(DPOINTS, DURATION_SEEDS, 3)} SELECT label, x, y, cluster, round(mean_x, 6) AS mean_x, round(mean_y, 6) AS mean_y FROM km",
+    f"WITH {unrolled(DPOINTS, DURATION_SEEDS, DURATION_ROUNDS)} SELECT label, x, y, cluster, round(mean_x, 6) AS mean_x, round(mean_y, 6) AS mean_y FROM km",
 )
 def _(spark, sf):
     return rounded(duration_km(spark, sf)[1])
@@ -240,24 +239,24 @@ def _(spark, sf):
 
 @query(
     "e06_kmeans_stations",
-    f"WITH {unrolled(SPOINTS, STATION_SEEDS, 3)} SELECT label, x, y, cluster, round(mean_x, 6) AS mean_x, round(mean_y, 6) AS mean_y FROM km",
+    f"WITH {unrolled(SPOINTS, STATION_SEEDS, STATION_ROUNDS)} SELECT label, x, y, cluster, round(mean_x, 6) AS mean_x, round(mean_y, 6) AS mean_y FROM km",
 )
 def _(spark, sf):
-    return rounded(km.kmeans(km.station_points(trips(spark, sf)), STATION_SEEDS, 3))
+    return rounded(km.kmeans(km.station_points(trips(spark, sf)), STATION_SEEDS, STATION_ROUNDS))
 
 
 @query(
     "e07_kmeans_delta",
-    f"WITH {unrolled(DPOINTS, DURATION_SEEDS, 3)} SELECT label, cluster, round(mx, 6) AS mean_x, round(my, 6) AS mean_y FROM a3 JOIN m3 USING (cluster) "
-    "EXCEPT ALL SELECT label, cluster, round(mx, 6), round(my, 6) FROM a2 JOIN m2 USING (cluster)",
+    f"WITH {unrolled(DPOINTS, DURATION_SEEDS, DURATION_ROUNDS)} SELECT label, cluster, round(mx, 6) AS mean_x, round(my, 6) AS mean_y FROM a10 JOIN m10 USING (cluster) "
+    "EXCEPT ALL SELECT label, cluster, round(mx, 6), round(my, 6) FROM a9 JOIN m9 USING (cluster)",
 )
 def _(spark, sf):
-    return rounded(km.kmeans_delta(duration_pts(spark, sf), DURATION_SEEDS, 3))
+    return rounded(km.kmeans_delta(duration_pts(spark, sf), DURATION_SEEDS, DURATION_ROUNDS))
 
 
 @query(
     "e08_rank_classes",
-    f"WITH {unrolled(DPOINTS, DURATION_SEEDS, 3)} SELECT cluster, round(mean_x, 6) AS mean_x, round(mean_y, 6) AS mean_y, class FROM cls",
+    f"WITH {unrolled(DPOINTS, DURATION_SEEDS, DURATION_ROUNDS)} SELECT cluster, round(mean_x, 6) AS mean_x, round(mean_y, 6) AS mean_y, class FROM cls",
 )
 def _(spark, sf):
     return rounded(km.rank_classes(duration_km(spark, sf)[1]))
@@ -265,7 +264,7 @@ def _(spark, sf):
 
 @query(
     "e09_wcss",
-    f"WITH {unrolled(DPOINTS, DURATION_SEEDS, 3)} SELECT round(sum((x - mean_x) ** 2 + (y - mean_y) ** 2), 4) AS wcss FROM km",
+    f"WITH {unrolled(DPOINTS, DURATION_SEEDS, DURATION_ROUNDS)} SELECT round(sum((x - mean_x) ** 2 + (y - mean_y) ** 2), 4) AS wcss FROM km",
 )
 def _(spark, sf):
     return rounded(km.wcss(duration_km(spark, sf)[1]), 4)
@@ -273,16 +272,26 @@ def _(spark, sf):
 
 @query(
     "e10_with_classes",
-    f"WITH {unrolled(DPOINTS, DURATION_SEEDS, 3)} SELECT label, x, y, class, round(cls.mean_x, 6) AS mean_x, round(cls.mean_y, 6) AS mean_y FROM km JOIN cls USING (cluster)",
+    f"WITH {unrolled(DPOINTS, DURATION_SEEDS, DURATION_ROUNDS)} SELECT label, x, y, class, round(cls.mean_x, 6) AS mean_x, round(cls.mean_y, 6) AS mean_y FROM km JOIN cls USING (cluster)",
 )
 def _(spark, sf):
     pts, clustered = duration_km(spark, sf)
     return rounded(km.with_classes(pts, clustered))
 
 
-@query("e11_elbow")
+ELBOW = ", ".join(
+    [DPOINTS, "ids AS (SELECT *, row_number() OVER (ORDER BY label) AS id, count(*) OVER () AS n FROM pts)"]
+    + [unrolled("", [], ELBOW_ROUNDS, f"k{k}_", " OR ".join(f"id = least(n, n * {2 * j + 1} // {2 * k} + 1)" for j in range(k))) for k in (2, 3, 4, 5)]
+)
+
+
+@query(
+    "e11_elbow",
+    f"WITH {ELBOW} "
+    + " UNION ALL ".join(f"SELECT {k} AS k, round(sum((x - mean_x) ** 2 + (y - mean_y) ** 2), 2) AS wcss FROM k{k}_km" for k in (2, 3, 4, 5)),
+)
 def _(spark, sf):
-    return rounded(km.elbow(duration_pts(spark, sf), iterations=4), 4)
+    return rounded(km.elbow(duration_pts(spark, sf), iterations=ELBOW_ROUNDS), 2)
 
 
 # ---- marts ---------------------------------------------------------------------------------------------------------
@@ -311,7 +320,7 @@ def mart(spark, sf):
 
 
 MOMENT = "CAST({p}_time AS DATE) AS date_{p}, year({p}_time) AS {p}_year, quarter({p}_time) AS {p}_quarter, month({p}_time) AS {p}_month, strftime({p}_time, '%H:%M:%S') AS time_{p}"
-MART = f"""{unrolled(DPOINTS, DURATION_SEEDS, 3)}, {DCLASS}, {CLEAN_STATIONS}, {SCLASS},
+MART = f"""{unrolled(DPOINTS, DURATION_SEEDS, DURATION_ROUNDS)}, {DCLASS}, {CLEAN_STATIONS}, {SCLASS},
  mart AS (SELECT trip_id, duration_minutes, {DURATION_CASE.replace('class', 'd.class')} AS duration_class, {MOMENT.format(p='start')}, a.region AS region_start,
    start_station, start_lat, start_lon, {MOMENT.format(p='end')}, b.region AS region_end, end_station, end_lat, end_lon, trip_route_category,
    passholder_type, bike_id, bike_type, b.go_live_date AS station_start_date, b.status, {TRAFFIC_CASE.replace('class', 's.class')} AS start_station_class
@@ -322,7 +331,7 @@ MART = MART.replace("d.class WHEN", "d.class WHEN")
 
 @query(
     "f01_class_means",
-    f"WITH {unrolled(DPOINTS, DURATION_SEEDS, 3)}, {DCLASS} SELECT label, class, round(mean_x) AS mean_time, round(mean_y) AS mean_frequency FROM dclass",
+    f"WITH {unrolled(DPOINTS, DURATION_SEEDS, DURATION_ROUNDS)}, {DCLASS} SELECT label, class, round(mean_x) AS mean_time, round(mean_y) AS mean_frequency FROM dclass",
 )
 def _(spark, sf):
     return marts.class_means(duration_classes(spark, sf))
@@ -330,7 +339,7 @@ def _(spark, sf):
 
 @query(
     "f02_label_duration",
-    f"WITH {unrolled(DPOINTS, DURATION_SEEDS, 3)}, {DCLASS} SELECT trip_id, duration_minutes, {DURATION_CASE} AS duration_class FROM clean JOIN dclass ON duration_minutes = label",
+    f"WITH {unrolled(DPOINTS, DURATION_SEEDS, DURATION_ROUNDS)}, {DCLASS} SELECT trip_id, duration_minutes, {DURATION_CASE} AS duration_class FROM clean JOIN dclass ON duration_minutes = label",
 )
 def _(spark, sf):
     return marts.label_duration(trips(spark, sf), duration_classes(spark, sf)).select(

@@ -163,11 +163,11 @@ for _name, _strong, _bad in (("l03_guard", False, "weak"), ("l04_strong_guard",
 
 @query(
     "l10_recursive_stub",
-    f"WITH {fc.SP}, e AS (SELECT max(date) AS z FROM sp), l AS (SELECT DISTINCT station_id FROM sp) SELECT l.station_id, CAST(z + CAST(s AS INT) AS DATE) AS date, s AS horizon_step, sp.target + s AS prediction FROM l CROSS JOIN e CROSS JOIN (SELECT unnest(range(1, 6)) AS s) k LEFT JOIN sp ON sp.station_id = l.station_id AND sp.date = z",
+    f"WITH {fc.SP}, e AS (SELECT max(date) AS z FROM sp), l AS (SELECT DISTINCT station_id FROM sp) SELECT l.station_id, CAST(z + CAST(s AS INT) AS DATE) AS date, s AS horizon_step, sp.target + s AS prediction FROM l CROSS JOIN e CROSS JOIN (SELECT unnest(range(1, 31)) AS s) k LEFT JOIN sp ON sp.station_id = l.station_id AND sp.date = z",
 )
 def _(spark, sf):
     stub = lambda rows: rows.withColumn("prediction", F.col("lag_1") + 1)
-    return md.predict_recursive(fc.station_panel(spark, sf), 5, stub)
+    return md.predict_recursive(fc.station_panel(spark, sf), 30, stub)
 
 
 ACTIVE = f"{fc.SP}, act AS (SELECT station_id, count(DISTINCT date) AS recent_service_days FROM sp WHERE in_service AND date > (SELECT max(date) FROM sp) - 90 GROUP BY 1 HAVING count(DISTINCT date) >= 10)"
@@ -226,6 +226,31 @@ def _(spark, sf):
     return rounded(iv.fit_diagnostics(md.differenced_regression(fc.target(spark, sf), KEYS, 30)))
 
 
+@query(
+    "m03_fitted_backtest",
+    f"""WITH {fc.BACK} SELECT series_id, fold_id, horizon, horizon_step, date, train_end, round(actual, 6) AS actual, m.model, true AS non_negative
+    FROM bk CROSS JOIN (VALUES ('ets'), ('fourier_dynamic_regression'), ('seasonal_difference_regression')) m(model) WHERE model_name = 'naive'""",
+)
+def _(spark, sf):
+    rows = md.fitted_backtest(fc.target(spark, sf), KEYS, fc.CONFIG)
+    model = F.regexp_replace("model_name", "_fallback$", "").alias("model")
+    return rounded(rows.select("series_id", "fold_id", "horizon", "horizon_step", "date", "train_end", "actual", model, (F.col("prediction") >= 0).alias("non_negative")))
+
+
+@query(
+    "m10_compare_all_models",
+    f"""WITH {fc.BACK}, al AS (SELECT series_id, fold_id, horizon, actual, model_name FROM bk UNION ALL SELECT series_id, fold_id, horizon, actual, m.model
+      FROM bk CROSS JOIN (VALUES ('ets'), ('fourier_dynamic_regression'), ('seasonal_difference_regression')) m(model) WHERE model_name = 'naive'),
+    f AS (SELECT series_id, model_name, horizon, fold_id, count(actual) AS n FROM al GROUP BY 1, 2, 3, 4)
+    SELECT series_id, model_name, horizon, count(DISTINCT fold_id) AS folds, round(avg(n), 6) AS mean_rows FROM f GROUP BY 1, 2, 3""",
+)
+def _(spark, sf):
+    fitted = md.fitted_backtest(fc.target(spark, sf), KEYS, fc.CONFIG).withColumn("model_name", F.regexp_replace("model_name", "_fallback$", ""))
+    every = fc.backtest(spark, sf).unionByName(fitted)
+    folds = bt.metrics(every, ["series_id", "model_name", "fold_id", "horizon"])
+    return rounded(bt.compare_models(folds, ("series_id", "model_name", "horizon")).select("series_id", "model_name", "horizon", "folds", "mean_rows"))
+
+
 FAST = {"learning_rate": 0.1, "max_depth": 3, "n_estimators": 5}
 
 

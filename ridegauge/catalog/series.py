@@ -216,10 +216,10 @@ def _(spark, sf):
     y AS (SELECT p.series_id, pos, n, value_filled - i - s * pos AS y FROM prep p JOIN r ON p.series_id = r.series_id),
     f AS (SELECT y.series_id, k, any_value(n) AS n, sum(y * cos(2 * pi() * k * pos / n)) AS a, sum(y * sin(2 * pi() * k * pos / n)) AS b
       FROM y CROSS JOIN (SELECT unnest(range(1, 5000)) AS k) q WHERE 2 * k <= n GROUP BY 1, 2)
-    SELECT series_id, k, n, round(n / k, 6) AS period, round((a * a + b * b) / n / n * CASE WHEN 2 * k = n THEN 1 ELSE 2 END, 6) AS power FROM f""",
+    SELECT series_id, k, n, round(n / k, 4) AS period, round((a * a + b * b) / n / n * CASE WHEN 2 * k = n THEN 1 ELSE 2 END, 4) AS power FROM f""",
 )
 def _(spark, sf):
-    return rounded(dg.periodogram(prepared(spark, sf), KEYS))
+    return rounded(dg.periodogram(prepared(spark, sf), KEYS), 4)
 
 
 @query("h17_spectral_peaks")

@@ -83,8 +83,9 @@ def year_trips(trips: DataFrame, year: int, start_col: str = "start_time") -> Da
     return trips.filter(F.year(start_col) == year)
 
 
-def preview(df: DataFrame, n: int = 10) -> DataFrame:
-    return df.limit(n)
+def preview(df: DataFrame, n: int = 10, order: tuple[str, ...] = ("trip_id",)) -> DataFrame:
+    """The first ``n`` rows in a stated order."""
+    return df.orderBy(*order).limit(n)
 
 
 def impute_bikes(trips: DataFrame, partition: tuple[str, ...] = ("quarter",)) -> DataFrame:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from ridegauge.functions.stats import unbiased_kurtosis, unbiased_skew
-from ridegauge.operators.keyed import broadcast_if_small, exact_quantiles
+from ridegauge.operators.keyed import exact_quantiles
 from ridegauge.operators.linear import fleet_ols
 
 Keys = Sequence[str]
@@ -368,7 +368,7 @@ def histogram(df: DataFrame, keys: Keys, value: str, bins: int = 30) -> DataFram
     v = F.col(value)
     bounds = df.filter(v.isNotNull()).groupBy(*keys).agg(F.min(v).alias("_lo"), F.max(v).alias("_hi"))
     rows = df.filter(v.isNotNull())
-    rows = rows.join(broadcast_if_small(bounds), list(keys)) if keys else rows.withColumns(
+    rows = rows.join(bounds, list(keys)) if keys else rows.withColumns(
         {c: bounds.select(c).scalar() for c in ("_lo", "_hi")}
     )
     width = (F.col("_hi") - F.col("_lo")) / bins
@@ -445,6 +445,32 @@ def decomposition_strength(components: DataFrame, keys: Keys, periods: Sequence[
     )
 
 
+def fitting_decomposition(prepared: DataFrame, keys: Keys, candidates: Sequence[int], fallback: int | None = None, most: int = 3) -> DataFrame:
+    """Strengths per series, decomposed at the first ``most`` candidate periods that fit twice into it, else at the fallback.
+
+    Series are parted by their number of rows, which decides the set of periods; each part is one plan over its own rows.
+    ``decomposition_periods_used`` names the set.
+    """
+    n = F.count(F.lit(1)).over(W.partitionBy(*keys))
+    rows = prepared.withColumn("_rows", n)
+    edges = sorted({2 * c for c in candidates if c >= 2})
+    columns = sorted({*candidates, *([fallback] if fallback else [])})
+    out = None
+    for low, high in zip([0, *edges], [*edges, None]):
+        periods = tuple(c for c in candidates if c >= 2 and 2 * c <= low)[:most] or ((fallback,) if fallback else ())
+        if not periods:
+            continue
+        part = rows.filter(F.col("_rows") >= low)
+        part = (part if high is None else part.filter(F.col("_rows") < high)).drop("_rows")
+        strengths = decomposition_strength(decompose(part, keys, periods), keys, periods)
+        missing = {f"seasonal_strength_{p}": F.lit(None).cast("double") for p in columns if p not in periods}
+        strengths = strengths.withColumns({**missing, "decomposition_periods_used": F.lit("|".join(map(str, sorted(periods))))})
+        out = strengths if out is None else out.unionByName(strengths)
+    if out is None:
+        raise ValueError("no period of at least 2 and no fallback")
+    return out
+
+
 def level_shifts(prepared: DataFrame, keys: Keys, window: int = 14, min_points: int = 40, value: str = "value_filled") -> DataFrame:
     """Local maxima of the two-sided mean difference on ``log1p`` above ``max(log(n) * var, 1)``-scaled noise."""
     series = W.partitionBy(*keys)

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ridegauge.functions.calendar import calendar_columns, fourier_columns, is_us_holiday
-from ridegauge.operators.keyed import broadcast_if_small, global_rank, last_per_key, per_date, require_columns
+from ridegauge.operators.keyed import global_rank, last_per_key, per_date, require_columns
 
 Keys = Sequence[str]
 
@@ -153,7 +153,7 @@ def station_features(panel: DataFrame, slices: DataFrame | None = None) -> DataF
 
 
 def attach_slices(df: DataFrame, slices: DataFrame) -> DataFrame:
-    return df.join(broadcast_if_small(slices), "station_id", "left")
+    return df.join(slices, "station_id", "left")
 
 
 def training_rows(features: DataFrame, columns: Sequence[str] = ()) -> DataFrame:
@@ -236,7 +236,7 @@ def category_map(df: DataFrame, column: str) -> DataFrame:
 def encode(df: DataFrame, column: str, mapping: DataFrame, name: str | None = None) -> DataFrame:
     """Codes from a stored map; unseen values become 0."""
     name = name or f"{column}_code"
-    side = broadcast_if_small(mapping.select(F.col("value").alias("_value"), F.col("code").alias("_code")))
+    side = mapping.select(F.col("value").alias("_value"), F.col("code").alias("_code"))
     keyed = df.withColumn("_value", F.coalesce(F.col(column).cast("string"), F.lit("unknown")))
     return keyed.join(side, "_value", "left").withColumn(name, F.coalesce("_code", F.lit(0)).cast("int")).drop("_value", "_code")
 
@@ -289,7 +289,7 @@ def station_scale(train: DataFrame) -> DataFrame:
 
 
 def apply_station_scale(df: DataFrame, scales: DataFrame, columns: Sequence[str] = SCALED_COLUMNS) -> DataFrame:
-    joined = df.join(broadcast_if_small(scales), "station_id", "left")
+    joined = df.join(scales, "station_id", "left")
     by = F.coalesce("scale", F.lit(1.0))
     return joined.withColumns({c: F.col(c) / by for c in columns if c in df.columns}).drop("scale")
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ridegauge import schemas
 from ridegauge.functions import cleaning as fx
-from ridegauge.operators.keyed import broadcast_if_small, first_per_key
+from ridegauge.operators.keyed import first_per_key
 from ridegauge.session import cut_lineage
 
 
@@ -72,8 +72,8 @@ def population_view(census: DataFrame, state: str, county: str) -> DataFrame:
 
 def station_density(station_zip: DataFrame, census: DataFrame, land: DataFrame) -> DataFrame:
     """Population per unit of land around each station."""
-    people = broadcast_if_small(census.select("zip_code", "total_population"))
-    area = broadcast_if_small(land.select("zip_code", "land_area"))
+    people = census.select("zip_code", "total_population")
+    area = land.select("zip_code", "land_area")
     return (
         station_zip.join(people, "zip_code", "left")
         .join(area, "zip_code", "left")
@@ -84,7 +84,6 @@ def station_density(station_zip: DataFrame, census: DataFrame, land: DataFrame)
 
 
 LEAF_POINTS = 32
-MAX_DEPTH = 12
 SALTS = 16
 
 
@@ -129,7 +128,7 @@ def nearest_join(
         return points.withColumn("cx", cell("rx", box["x0"])).withColumn("cy", cell("ry", box["y0"]))
 
     depth = max(1, math.ceil(math.log(max(box["n"] / LEAF_POINTS, 1.0), 16)))
-    while depth < MAX_DEPTH:
+    while 4**depth < 1 << 52:  # points are distinct, so cells this fine hold one each up to the precision of a double
         fullest = leaf(depth).groupBy("cx", "cy").count().agg(F.max("count")).collect()[0][0]
         if fullest <= LEAF_POINTS:
             break

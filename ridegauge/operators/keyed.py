@@ -8,8 +8,6 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ridegauge.session import cut_lineage
 
-BROADCAST_ROW_BOUND = 200_000
-
 
 def require_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     missing = sorted(set(columns) - set(df.columns))
@@ -23,11 +21,6 @@ def rows_at_most(df: DataFrame, bound: int) -> bool:
     return df.limit(bound + 1).count() <= bound
 
 
-def broadcast_if_small(df: DataFrame, bound: int = BROADCAST_ROW_BOUND) -> DataFrame:
-    """Hint a broadcast only after counting; larger sides keep the shuffle join (AQE splits its hot keys)."""
-    return F.broadcast(df) if rows_at_most(df, bound) else df
-
-
 def per_date(df: DataFrame) -> DataFrame:
     """Mark a frame with one row per calendar date.
 

@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ridegauge.operators.keyed import global_rank
 from ridegauge.session import cut_lineage
 
 
@@ -33,11 +34,9 @@ def station_points(trips: DataFrame, station: str = "start_station") -> DataFram
 
 
 def seed_centers(points: DataFrame, ids: list[int]) -> list[Center]:
-    """Initial centres by 1-based rank of the label; only the first ``max(ids)`` labels are looked at."""
-    wanted = sorted(set(ids))
-    head = points.orderBy("label").limit(wanted[-1]).collect()
-    chosen = [head[i - 1] for i in wanted if i <= len(head)]
-    return [Center(n, row["x"], row["y"]) for n, row in enumerate(chosen, start=1)]
+    """Initial centres by 1-based rank of the label; the driver gets the chosen k rows only."""
+    ranked = global_rank(points, ["label"], "_rank").filter(F.col("_rank").isin(sorted(set(ids))))
+    return [Center(n, row["x"], row["y"]) for n, row in enumerate(ranked.orderBy("_rank").collect(), start=1)]
 
 
 def _nearest(centers: list[Center]) -> Column:
@@ -118,10 +117,10 @@ def wcss(clustered: DataFrame) -> DataFrame:
 def elbow(points: DataFrame, ks: tuple[int, ...] = (2, 3, 4, 5), iterations: int = 10) -> DataFrame:
     """Within-cluster sum of squares per k, seeds spread evenly over the label order."""
     points = cut_lineage(points)
-    head = min(points.count(), 1000)
+    n = points.count()
     out = None
     for k in ks:
-        ids = sorted({max(1, round(head * (j + 0.5) / k)) for j in range(k)})
+        ids = sorted({min(n, n * (2 * j + 1) // (2 * k) + 1) for j in range(k)})
         row = wcss(kmeans(points, ids, iterations)).select(F.lit(k).alias("k"), "wcss")
         out = row if out is None else out.unionByName(row)
     return out

@@ -11,10 +11,11 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ridegauge.config import BacktestConfig
 from ridegauge.functions.calendar import is_us_holiday
 from ridegauge.functions.stats import clip0
 from ridegauge.operators import features as ft
-from ridegauge.operators.backtest import baseline_forecast
+from ridegauge.operators.backtest import baseline_backtest, baseline_forecast
 from ridegauge.operators.intervals import fill_intervals
 from ridegauge.operators.linear import fleet_ols
 from ridegauge.session import cut_lineage
@@ -51,10 +52,10 @@ def _facts(forecast: DataFrame, keys: Keys) -> DataFrame:
     )
 
 
-def implausible(forecast: DataFrame, train: DataFrame, keys: Keys, horizon: int) -> DataFrame:
-    """``implausible`` and ``reason`` per series: non-finite, negative, too high, drifting up or too volatile."""
+def implausible(forecast: DataFrame, train: DataFrame, keys: Keys, horizon: int, candidate: Keys = ()) -> DataFrame:
+    """``implausible`` and ``reason`` per series (and ``candidate``): non-finite, negative, too high, drifting up or too volatile."""
     keys = list(keys)
-    rows = _facts(forecast, keys).join(upper_bounds(train, keys), keys, "left")
+    rows = _facts(forecast, [*keys, *candidate]).join(upper_bounds(train, keys), keys, "left")
     limit = F.coalesce("upper_bound", F.lit(1000.0))
     medium = (F.lit(horizon) >= 30) & (F.col("_steps") > 1)
     drifting = medium & (F.col("_end") > F.greatest(F.col("recent_max") * 1.6, F.col("recent_mean") * 1.75))
@@ -66,11 +67,14 @@ def implausible(forecast: DataFrame, train: DataFrame, keys: Keys, horizon: int)
         .when(drifting, "implausible_upward_drift")
         .when(volatile, "excessive_medium_horizon_volatility")
     )
-    return rows.select(*keys, reason.isNotNull().alias("implausible"), reason.alias("reason"))
+    return rows.select(*keys, *candidate, reason.isNotNull().alias("implausible"), reason.alias("reason"))
 
 
 def guard(forecast: DataFrame, train: DataFrame, keys: Keys, horizon: int, name: str, strong: bool = False) -> DataFrame:
-    """Replace the whole forecast of a series by seasonal naive 7 when it is not plausible; clip the rest at zero."""
+    """Replace the whole forecast of a series by seasonal naive 7 when it is not plausible; clip the rest at zero.
+
+    A series without any forecast gets the fallback too; below seven values that is the last value repeated.
+    """
     keys = list(keys)
     if strong:
         verdict = implausible(forecast, train, keys, horizon)
@@ -80,11 +84,19 @@ def guard(forecast: DataFrame, train: DataFrame, keys: Keys, horizon: int, name:
         verdict = rows.select(
             *keys, bad.alias("implausible"), F.when(bad, "non_finite_or_above_upper_bound").alias("reason")
         )
-    spare = baseline_forecast(train, keys, horizon, (7,)).filter("model_name = 'seasonal_naive_7'")
-    spare = spare.select(*keys, "date", "horizon_step", F.col("prediction").alias("_spare"))
+    known = train.groupBy(*keys).agg(F.count("target").alias("_known"))
+    spare = baseline_forecast(train.filter("target IS NOT NULL"), keys, horizon, (7,)).join(known, keys)
+    spare = spare.filter(F.col("model_name") == F.when(F.col("_known") >= 7, "seasonal_naive_7").otherwise("naive"))
+    last = train.groupBy(*keys).agg(F.max("date").alias("_last"))
+    spare = spare.join(last, keys).select(*keys, F.expr("date_add(_last, horizon_step)").alias("date"), "horizon_step", F.col("prediction").alias("_spare"))
+    absent = forecast.select(*keys).distinct()
+    alone = spare.join(absent, keys, "left_anti").select(
+        *keys, "date", "horizon_step", F.col("_spare").alias("prediction"), F.lit(f"{name}_fallback").alias("model_name"),
+        F.lit(True).alias("fallback_triggered"), F.lit("insufficient_history").alias("fallback_reason"),
+    )
     joined = forecast.join(verdict, keys, "left").join(spare, [*keys, "date", "horizon_step"], "left")
     failed = F.coalesce("implausible", F.lit(False))
-    return joined.select(
+    judged = joined.select(
         *keys,
         "date",
         "horizon_step",
@@ -93,6 +105,7 @@ def guard(forecast: DataFrame, train: DataFrame, keys: Keys, horizon: int, name:
         failed.alias("fallback_triggered"),
         F.col("reason").alias("fallback_reason"),
     )
+    return judged.unionByName(alone)
 
 
 # ---- regression ------------------------------------------------------------------------------------------------------
@@ -121,7 +134,7 @@ def fourier_regression(
     if external is not None:
         names += [c for c in external.columns if c != "date"]
     names.append("trend_index")
-    fit = fleet_ols(design, keys, names, "target")
+    fit = fleet_ols(design, keys, names, "target", null_regressor=0.0)
     size = train.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     ahead = ft.known_future_frame(ft.future_dates(train, keys, horizon), weekly_order, yearly_order, external)
     span = max(horizon - 1, 1)
@@ -137,27 +150,25 @@ DIFFERENCED_SPECS = ((1, 7), (1, 2, 7), (1, 2, 3, 7, 14))
 
 def differenced_regression(
     train: DataFrame, keys: Keys, horizon: int, season: int = 7, specs: Sequence[Sequence[int]] = DIFFERENCED_SPECS,
-    history: int = 1095,
+    history: int | None = None,
 ) -> DataFrame:
-    """Seasonally differenced autoregression with weekend and holiday; the specification with the lowest AIC is kept.
+    """Seasonally differenced autoregression with holidays; of the specifications with a plausible forecast the lowest AIC wins.
 
-    The recursion carries one short array per series (the last values), so a step is a projection and not a join.
+    Least squares on seasonal differences, not a likelihood fit. All history counts unless ``history`` caps it. The recursion carries one short array per series (the last values), so a step is a projection and not a join.
     """
     keys = list(keys)
-    rows = ft.cap_history(train.select(*keys, "date", "target"), keys, history)
+    rows = train.select(*keys, "date", "target")
+    rows = ft.cap_history(rows, keys, history) if history else rows
     ordered = W.partitionBy(*keys).orderBy("date")
     rows = rows.withColumn("_d", F.col("target") - F.lag("target", season).over(ordered))
     lags = sorted({k for spec in specs for k in spec})
     rows = rows.withColumns(
         {
             **{f"_d{k}": F.lag("_d", k).over(ordered) for k in lags},
-            "_we": (F.weekday("date") >= 5).cast("double"),
             "_ho": is_us_holiday(F.col("date")).cast("double"),
         }
     )
-    rows = rows.withColumn("_dwe", F.col("_we") - F.lag("_we", season).over(ordered)).withColumn(
-        "_dho", F.col("_ho") - F.lag("_ho", season).over(ordered)
-    )
+    rows = rows.withColumn("_dho", F.col("_ho") - F.lag("_ho", season).over(ordered))
     fits = None
     for i, spec in enumerate(specs):
         names = [f"_d{k}" for k in spec] + ["_dho"]
@@ -166,7 +177,6 @@ def differenced_regression(
         aic = F.col("nobs") * F.log(F.greatest(F.col("sse"), F.lit(1e-12)) / F.col("nobs")) + 2 * width
         row = fit.select(*keys, F.lit(i).alias("spec"), aic.alias("aic"), "coefficients", "nobs")
         fits = row if fits is None else fits.unionByName(row)
-    best = fits.groupBy(*keys).agg(F.min_by(F.struct("spec", "aic", "coefficients", "nobs"), F.struct("aic", "spec")).alias("b"))
     need = season + max(lags)
     latest = W.partitionBy(*keys).orderBy(F.col("date").desc())
     tail = (
@@ -178,7 +188,7 @@ def differenced_regression(
             F.max("date").alias("last"),
         )
     )
-    start = tail.join(best, keys)
+    start = tail.join(fits.select(*keys, "spec", F.struct("spec", "aic", "coefficients", "nobs").alias("b")), keys)
     y = lambda h, back: F.element_at(h, -back)
 
     def step(state: Column, s: Column) -> Column:
@@ -195,15 +205,21 @@ def differenced_regression(
         return F.concat(h, F.array(y(h, season) + options))
 
     grown = start.withColumn("h", F.aggregate(F.sequence(F.lit(1), F.lit(horizon)), F.col("h"), step))
-    raw = grown.select(
-        *keys, "last", "b", F.posexplode(F.slice("h", -horizon, horizon)).alias("_p", "prediction")
+    each = grown.select(
+        *keys, "spec", "last", F.posexplode(F.slice("h", -horizon, horizon)).alias("_p", "prediction")
     ).select(
-        *keys, F.date_add("last", F.col("_p") + 1).alias("date"), (F.col("_p") + 1).alias("horizon_step"), "prediction"
+        *keys, "spec", F.date_add("last", F.col("_p") + 1).alias("date"), (F.col("_p") + 1).alias("horizon_step"), "prediction"
     )
+    verdicts = implausible(each, train, keys, horizon, ["spec"])
+    order = F.struct("implausible", "aic", "spec")
+    best = fits.join(verdicts, [*keys, "spec"]).groupBy(*keys).agg(
+        F.min_by(F.struct("spec", "aic", "coefficients", "nobs"), order).alias("b")
+    )
+    raw = each.join(best.select(*keys, F.col("b.spec").alias("spec")), [*keys, "spec"]).drop("spec")
     chosen = best.select(*keys, F.concat(F.lit("lags="), F.element_at(
         F.array(*[F.lit("|".join(map(str, s))) for s in specs]), F.col("b.spec") + 1)).alias("selected_spec"),
         F.col("b.aic").alias("aic"), F.col("b.nobs").alias("nobs"))
-    return guard(raw, train, keys, horizon, "sarimax_dynamic", strong=True).join(chosen, keys, "left")
+    return guard(raw, train, keys, horizon, "seasonal_difference_regression", strong=True).join(chosen, keys, "left")
 
 
 # ---- exponential smoothing -------------------------------------------------------------------------------------------
@@ -214,13 +230,18 @@ SMOOTHING_GRID = tuple(product((0.1, 0.3, 0.6), (0.01, 0.1), (0.05, 0.2), (0.9,
 def ets(train: DataFrame, keys: Keys, horizon: int, season: int = 7, grid: Sequence[tuple] = SMOOTHING_GRID) -> DataFrame:
     """Damped additive trend and season; every parameter set is folded over the history, least squares picks one.
 
-    A series is one array (bounded by its calendar); the fold runs in the JVM.
+    A series is one array (bounded by its calendar); the fold runs in the JVM. It folds over the calendar: a missing value keeps
+    its season slot and leaves the state where the trend carries it. A series below two seasons of values has no season term.
     """
     keys = list(keys)
-    arrays = train.filter("target IS NOT NULL").groupBy(*keys).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("date", "target"))), lambda p: p["target"]).alias("y"),
+    arrays = train.groupBy(*keys).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("date", "target"))), lambda p: p["target"]).alias("_all"),
         F.max("date").alias("last"),
     )
+    known = lambda a: F.filter(a, lambda v: v.isNotNull())
+    begin = F.array_position(F.transform("_all", lambda v: v.isNotNull()), True)
+    arrays = arrays.filter(F.size(known("_all")) > 0).withColumn("y", F.slice("_all", begin.cast("int"), F.size("_all"))).drop("_all")
+    arrays = arrays.withColumn("_seasonal", F.size(known("y")) >= 2 * season)
     params = F.array(
         *[
             F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(g).alias("g"), F.lit(p).alias("p"))
@@ -228,25 +249,26 @@ def ets(train: DataFrame, keys: Keys, horizon: int, season: int = 7, grid: Seque
         ]
     )
     first = F.slice("y", 1, season)
-    mean = F.aggregate(first, F.lit(0.0), lambda s, v: s + v) / F.size(first)
-    rows = arrays.filter(F.size("y") >= 2 * season).withColumn("_m", mean).withColumn("q", F.explode(params))
-    init = F.struct(
-        F.col("_m").alias("l"), F.lit(0.0).alias("t"), F.transform(first, lambda v: v - F.col("_m")).alias("s"), F.lit(0.0).alias("sse")
-    )
+    mean = F.aggregate(known(first), F.lit(0.0), lambda s, v: s + v) / F.size(known(first))
+    rows = arrays.withColumn("_m", F.when(F.col("_seasonal"), mean).otherwise(F.get("y", F.lit(0)))).withColumn("q", F.explode(params))
+    shape = F.when(F.col("_seasonal"), F.transform(first, lambda v: F.coalesce(v - F.col("_m"), F.lit(0.0)))).otherwise(F.array_repeat(F.lit(0.0), season))
+    init = F.struct(F.col("_m").alias("l"), F.lit(0.0).alias("t"), shape.alias("s"), F.lit(0.0).alias("sse"))
 
     def step(st: Column, v: Column) -> Column:
         q = F.col("q")
         damped = st["l"] + q["p"] * st["t"]
         oldest = F.element_at(st["s"], 1)
-        level = q["a"] * (v - oldest) + (1 - q["a"]) * damped
+        level = F.when(v.isNull(), damped).otherwise(q["a"] * (v - oldest) + (1 - q["a"]) * damped)
+        slot = F.when(v.isNull() | ~F.col("_seasonal"), oldest).otherwise(q["g"] * (v - damped) + (1 - q["g"]) * oldest)
+        miss = F.coalesce(v - damped - oldest, F.lit(0.0))
         return F.struct(
             level.alias("l"),
-            (q["b"] * (level - st["l"]) + (1 - q["b"]) * q["p"] * st["t"]).alias("t"),
-            F.concat(F.slice(st["s"], 2, season - 1), F.array(q["g"] * (v - damped) + (1 - q["g"]) * oldest)).alias("s"),
-            (st["sse"] + (v - damped - oldest) * (v - damped - oldest)).alias("sse"),
+            F.when(v.isNull(), q["p"] * st["t"]).otherwise(q["b"] * (level - st["l"]) + (1 - q["b"]) * q["p"] * st["t"]).alias("t"),
+            F.concat(F.slice(st["s"], 2, season - 1), F.array(slot)).alias("s"),
+            (st["sse"] + miss * miss).alias("sse"),
         )
 
-    rest = F.slice(F.col("y"), F.lit(season + 1), F.size("y"))
+    rest = F.slice(F.col("y"), F.when(F.col("_seasonal"), season + 1).otherwise(2), F.size("y"))
     fitted = rows.withColumn("st", F.aggregate(rest, init, step))
     best = fitted.groupBy(*keys, "last").agg(F.min_by(F.struct("st", "q"), F.struct("st.sse", "q")).alias("f"))
     steps = best.withColumn("horizon_step", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
@@ -272,7 +294,7 @@ TREE_COLUMNS = ["station_code", *[c for c in ft.STATION_FEATURES if c != "statio
 
 def fit_trees(rows: DataFrame, params: dict, columns: Sequence[str] = TREE_COLUMNS, seed: int = 42) -> PipelineModel:
     """Distributed boosted trees over pooled, encoded training rows."""
-    assembler = VectorAssembler(inputCols=list(columns), outputCol="_x", handleInvalid="skip")
+    assembler = VectorAssembler(inputCols=list(columns), outputCol="_x", handleInvalid="error")
     gbt = GBTRegressor(
         featuresCol="_x", labelCol="target", predictionCol="_p", maxIter=int(params["n_estimators"]),
         maxDepth=int(params["max_depth"]), stepSize=float(params["learning_rate"]), seed=seed,
@@ -416,6 +438,32 @@ def run_family(train: DataFrame, keys: Keys, horizons: Sequence[int] = (7, 30, 9
     return out
 
 
+FITTED = {"ets": ets, "fourier_dynamic_regression": fourier_regression, "seasonal_difference_regression": differenced_regression}
+
+
+def fitted_backtest(series: DataFrame, keys: Keys, config: BacktestConfig = BacktestConfig(), models: dict = FITTED) -> DataFrame:
+    """Rolling-origin forecasts of fitted models, in the columns of ``baseline_backtest`` and ready to be united with it.
+
+    A fold is part of the series key, so every fold of every series is fitted in the same plan; daily rows are copied once for
+    each fold that trains on them (at most ``max_folds`` a horizon).
+    """
+    keys = list(keys)
+    base = baseline_backtest(series, keys, config)
+    tests = cut_lineage(
+        base.filter("model_name = 'naive'").select(*keys, "fold_id", "horizon", "horizon_step", "date", "train_end", "actual", "mase_scale")
+    )
+    folds = tests.select(*keys, "fold_id", "horizon", "train_end").distinct()
+    train = cut_lineage(series.select(*keys, "date", "target").join(folds, keys).filter("date <= train_end").drop("train_end"))
+    fold = [*keys, "fold_id"]
+    out = None
+    for h in config.horizons:
+        part = train.filter(F.col("horizon") == h).drop("horizon")
+        for make in models.values():
+            rows = make(part, fold, h).select(*fold, F.lit(h).alias("horizon"), "date", "prediction", "model_name")
+            out = rows if out is None else out.unionByName(rows)
+    return tests.join(out, [*fold, "horizon", "date"]).select(*base.columns)
+
+
 def active_stations(panel: DataFrame, recent_days: int = 90, min_days: int = 3) -> DataFrame:
     """Stations in service on enough of the latest days."""
     last = panel.agg(F.max("date").alias("d")).scalar()

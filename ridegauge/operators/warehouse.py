@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ridegauge.config import FREQUENCY_STEP
-from ridegauge.operators.keyed import broadcast_if_small, global_rank, per_date
+from ridegauge.operators.keyed import global_rank, per_date
 from ridegauge.session import cut_lineage
 
 GRAIN_UNIT = {"hourly": "hour", "daily": "day", "weekly": "week", "monthly": "month", "quarterly": "quarter"}
@@ -142,7 +142,7 @@ def modeling_registry(panel: DataFrame, recent_days: int = 90, min_observed: int
     ranks = ordered.withColumn("_blk", block).join(F.broadcast(before), "_blk").select(
         "total_trip_count", (F.col("_off") + F.coalesce(F.sum("_c").over(in_block), F.lit(0)) + 1).alias("volume_rank")
     )
-    out = facts.join(broadcast_if_small(ranks), "total_trip_count")
+    out = facts.join(ranks, "total_trip_count")
     n = facts.agg(F.count(F.lit(1)).alias("n")).scalar()
     place = F.col("volume_rank") / F.col("_n")
     enough, dense = F.col("observed_rows") >= min_observed, F.coalesce(F.col("zero_share") <= max_zero_share, F.lit(False))
@@ -317,7 +317,7 @@ def run_log(raw: DataFrame, clean: DataFrame, run_id: str, start: str = "start_t
 # Family and note by model or implementation.
 FAMILY = {
     "naive": "baseline", "seasonal_naive_7": "baseline", "seasonal_naive_30": "baseline", "ets": "classical",
-    "sarimax_dynamic": "classical", "fourier_dynamic_regression": "classical", "gbt": "ml",
+    "seasonal_difference_regression": "classical", "fourier_dynamic_regression": "classical", "gbt": "ml",
 }
 NOTES = {
     "naive": "Last-observation carry-forward benchmark.",

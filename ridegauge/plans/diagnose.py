@@ -19,7 +19,6 @@ def diagnose(
     candidates, fallback = config.candidate_periods, config.fallback_period
     collapsed = ti.collapse(df, keys, ts, value)
     series = cut_lineage(ti.prepare_series(df, keys, ts, value, config.frequency))  # read by every diagnostic
-    periods = tuple(c for c in candidates if c <= 30)[:3] or (fallback,)
     spectrum = dg.periodogram(series, keys)
     peaks = dg.spectral_peaks(spectrum, keys, candidates)
     anomalies = dg.anomaly_centered(series, keys, config.anomaly_window, config.anomaly_threshold)
@@ -32,7 +31,7 @@ def diagnose(
         dg.multi_season(peaks, keys, len(candidates)),
         dg.anomaly_summary(anomalies, keys),
         dg.distribution(series, keys),
-        dg.decomposition_strength(dg.decompose(series, keys, periods), keys, periods),
+        dg.fitting_decomposition(series, keys, candidates, fallback),
         dg.stationarity(series, keys),
         shifts,
     ]
