@@ -38,6 +38,16 @@ def id_remainder(doc_id: Column, m: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % m, F.lit(0))
 
 
+def hash_sample(df: DataFrame, wanted: int, *keys: str) -> DataFrame:
+    """About ``wanted`` rows of ``df`` (all of them if there are no more), chosen by a hash of ``keys``.
+
+    A filter, so that no task and not the driver gets more than its share; a caller that needs a firm bound adds a limit.
+    """
+    n = df.count()
+    space = 1 << 40
+    return df if n <= wanted else df.filter(F.pmod(F.xxhash64(*keys), F.lit(space)) < int(space * min(1.0, 1.1 * wanted / n)))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

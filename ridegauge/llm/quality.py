@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ridegauge.llm import textstats, trees
-from ridegauge.llm.common import add_columns, fresh, id_remainder, raw, ready, table
+from ridegauge.llm.common import add_columns, fresh, hash_sample, id_remainder, raw, ready, table
 
 SAMPLE = 20_000
 HELD_OUT_OF = 5
@@ -27,12 +27,10 @@ def _statistics(texts):
 def training_statistics(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
     """Features and labels of at most ``sample`` labelled training rows, chosen by a hash of the id."""
     order = F.xxhash64("doc_id")
-    chosen = (
-        labels.select("doc_id", F.col("quality").cast("int").alias("quality"))
-        .filter((id_remainder(F.col("doc_id"), HELD_OUT_OF) != 0) & F.col("quality").isNotNull())
-        .orderBy(order, "doc_id", "quality")
-        .limit(sample)
+    usable = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).filter(
+        (id_remainder(F.col("doc_id"), HELD_OUT_OF) != 0) & F.col("quality").isNotNull()
     )
+    chosen = hash_sample(usable, sample, "doc_id").orderBy(order, "doc_id", "quality").limit(sample)
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most ``sample`` small rows
     rows = (
         add_columns(texts.select("doc_id", "quality", "text"), "stats array<double>", _statistics)
