@@ -21,14 +21,14 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ridegauge.llm.common import add_columns, partitions, ready, table
+from ridegauge.llm.common import add_columns, hash_sample, partitions, ready, table
 
 DEFAULT_VERDICT = "allow"
 #: host, path, verdict
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 STRETCHES_A_PARTITION = 4
-SAMPLE_A_STRETCH = 40
+SAMPLE_A_STRETCH = 16
 KEY_BYTES = 200
 
 
@@ -48,9 +48,8 @@ def rule_table(spark: SparkSession, rules=RULES) -> DataFrame:
 
 
 def _cut_keys(keyed: DataFrame, stretches: int) -> list[str]:
-    """At most ``stretches - 1`` keys that deal the urls out evenly, from a bounded sample (the rows with the smallest hashes)."""
-    wanted = stretches * SAMPLE_A_STRETCH
-    sample = keyed.select("sort_key", "tie").orderBy(F.xxhash64("tie"), "sort_key").limit(wanted).select("sort_key").collect()
+    """At most ``stretches - 1`` keys that deal the urls out evenly, from a sample of ``SAMPLE_A_STRETCH`` urls a stretch."""
+    sample = hash_sample(keyed.select("sort_key", "tie"), stretches * SAMPLE_A_STRETCH, "tie").select("sort_key").collect()
     keys = sorted(r["sort_key"] for r in sample)
     return sorted({keys[len(keys) * i // stretches] for i in range(1, stretches)}) if keys else []
 
