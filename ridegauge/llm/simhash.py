@@ -23,13 +23,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ridegauge.llm.common import add_columns, fresh, materialize, raw, ready, table
+from ridegauge.llm.common import add_columns, fresh, hash_sample, materialize, partitions, raw, ready, table
 from ridegauge.llm.links import connected
 
 SHINGLE = 3
 SEED = 42
 RADIUS = 2
-SHARD_POINTS = 16_384
+SHARD_POINTS, LEAST_SHARD_POINTS = 16_384, 2_048
 SAMPLE_A_SHARD = 64
 COMPARE_AT_ONCE = 1 << 20
 
@@ -164,9 +164,11 @@ def components(docs: DataFrame, radius: int = RADIUS, shard_points: int = SHARD_
     rows = materialize(fingerprints(docs.select("doc_id", "text")).select("doc_id", "fp"))
     nodes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     count = nodes.count()
-    depth = max(0, int(np.ceil(np.log2(max(1, count / shard_points)))))
+    # Small inputs use more and smaller shards, so that all partitions have one.
+    shards = max(count / shard_points, min(partitions(spark), count / LEAST_SHARD_POINTS), 1)
+    depth = int(np.ceil(np.log2(shards)))
     wanted = min(SAMPLE_A_SHARD * 2**depth, count // 4)
-    sample = [r["fp"] for r in nodes.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(wanted).collect()] if depth else []
+    sample = [r["fp"] for r in hash_sample(nodes.select("fp"), wanted, "fp").orderBy("fp").collect()] if depth else []
     tree = Tree(np.array(sample, np.int64).view(np.uint64), depth)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
