@@ -30,7 +30,7 @@ from ridegauge.llm.common import id_remainder, materialize, partitions, raw, rea
 from ridegauge.llm.exchange import pack_numbers, pack_words, unpack_numbers, unpack_words
 
 HELD_OUT_OF = 10
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES, LEAST_BLOCK_BYTES = 12 << 20, 1 << 20
 BLOCKS_AN_OWNER = 2
 SYMBOLS = 256
 EDGE = b"\xff\xff\xff"
@@ -229,7 +229,8 @@ def score(docs: DataFrame, train_where=None, block_bytes: int = BLOCK_BYTES) ->
     train = F.coalesce(train_where if train_where is not None else id_remainder(F.col("doc_id"), HELD_OUT_OF) != 0, F.lit(False))
     rows = docs.select("doc_id", "text", train.alias("train"))
     pairs, tokens, texts, size = byte_pairs(rows)
-    blocks = max(1, -(-size // block_bytes))
+    # Small inputs use smaller blocks, so that all partitions have one.
+    blocks = max(1, -(-size // block_bytes), min(partitions(spark), size // min(block_bytes, LEAST_BLOCK_BYTES)))
     owners = max(partitions(spark), blocks // BLOCKS_AN_OWNER)
     text_hash = F.xxhash64("doc_id", F.xxhash64("text"))
     dealt = rows.withColumn("block", F.pmod(text_hash, F.lit(blocks)).cast("int")).repartition(partitions(spark), "block")
