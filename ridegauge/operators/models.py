@@ -251,6 +251,8 @@ def ets(train: DataFrame, keys: Keys, horizon: int, season: int = 7, grid: Seque
     first = F.slice("y", 1, season)
     mean = F.aggregate(known(first), F.lit(0.0), lambda s, v: s + v) / F.size(known(first))
     rows = arrays.withColumn("_m", F.when(F.col("_seasonal"), mean).otherwise(F.get("y", F.lit(0)))).withColumn("q", F.explode(params))
+    # The fold is work, not bytes: deal series and parameter sets over all tasks before it.
+    rows = rows.repartition(int(train.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, "q")
     shape = F.when(F.col("_seasonal"), F.transform(first, lambda v: F.coalesce(v - F.col("_m"), F.lit(0.0)))).otherwise(F.array_repeat(F.lit(0.0), season))
     init = F.struct(F.col("_m").alias("l"), F.lit(0.0).alias("t"), shape.alias("s"), F.lit(0.0).alias("sse"))
 
