@@ -31,10 +31,12 @@ def training_statistics(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE
         (id_remainder(F.col("doc_id"), HELD_OUT_OF) != 0) & F.col("quality").isNotNull()
     )
     chosen = hash_sample(usable, sample, "doc_id").orderBy(order, "doc_id", "quality").limit(sample)
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most ``sample`` small rows
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("tie")).join(F.broadcast(chosen), "doc_id")  # at most ``sample`` small rows
+    # The order of the top rows names no text, so that none comes to the driver.
     rows = (
-        add_columns(texts.select("doc_id", "quality", "text"), "stats array<double>", _statistics)
-        .orderBy(order, "doc_id", "quality", "text")
+        add_columns(texts, "stats array<double>", _statistics)
+        .select(order.alias("first"), "doc_id", "quality", "tie", "stats")
+        .orderBy("first", "doc_id", "quality", "tie")
         .select("quality", "stats")
         .limit(sample)
         .collect()
