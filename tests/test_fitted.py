@@ -7,7 +7,8 @@ import datetime as dt
 import numpy as np
 import pytest
 
-from ridegauge.operators import diagnosis as dg, kmeans as km, models as md
+from ridegauge.config import BacktestConfig
+from ridegauge.operators import backtest as bt, diagnosis as dg, kmeans as km, models as md
 from ridegauge.operators.linear import fleet_ols
 
 
@@ -68,3 +69,19 @@ def test_elbow_seeds_are_spread_over_all_points(spark):
     points = spark.range(5_000).selectExpr("id AS label", "CAST(id AS DOUBLE) AS x", "CAST(0 AS DOUBLE) AS y")
     row = km.elbow(points, (4,), 4).first()
     assert row["wcss"] == pytest.approx(4 * sum((i - 624.5) ** 2 for i in range(1_250)), rel=1e-3)
+
+
+def test_fitted_models_are_scored_on_every_fold(spark):
+    day = dt.date(2024, 1, 1)
+    rows = [(k, day + dt.timedelta(i), float(20 + 5 * (i % 7) + (i if k == "b" else 0))) for k in ("a", "b") for i in range(120)]
+    df = spark.createDataFrame(rows, "series_id string, date date, target double")
+    config = BacktestConfig(horizons=(7,), initial_train_size=80, step_size=14, max_folds=2)
+    base = bt.baseline_backtest(df, ["series_id"], config)
+    fitted = md.fitted_backtest(df, ["series_id"], config)
+    assert fitted.columns == base.columns
+    every = base.unionByName(fitted)
+    found = {(r["series_id"], r["model_name"].removesuffix("_fallback"), r["fold_id"]): r["count"] for r in every.groupBy("series_id", "model_name", "fold_id").count().collect()}
+    names = {"naive", *(f"seasonal_naive_{p}" for p in config.seasonal_naive_periods), *md.FITTED}
+    assert set(found) == {(k, n, f) for k in ("a", "b") for n in names for f in (1, 2)} and set(found.values()) == {7}
+    best = bt.compare_models(bt.metrics(every.filter("series_id = 'a'"), ["model_name", "fold_id", "horizon"]), ("model_name", "horizon"))
+    assert best.first()["mean_mae"] < 1e-6
