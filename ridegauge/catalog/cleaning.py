@@ -9,7 +9,7 @@ from ridegauge.catalog.base import query, rounded
 from ridegauge.functions import cleaning as fx
 from ridegauge.operators import cleaning as op
 from ridegauge.operators.keyed import duplicate_keys
-from ridegauge.plans.bindings import DENSE_DAILY, RAW_STATIONS, RAW_TRIPS, SYSTEM_DAILY, bind, table
+from ridegauge.plans.bindings import ADMINISTRATIVE, DENSE_DAILY, RAW_STATIONS, RAW_TRIPS, SYSTEM_DAILY, bind, table
 from ridegauge.sources import readers
 
 TS = (
@@ -37,8 +37,7 @@ SELECT * FROM (SELECT {INT.format('trip_id', 1)} AS trip_id, {INT.format('durati
 WHERE passholder_type <> 'Testing' AND NOT (start_lat = 0 OR start_lon = 0 OR end_lat = 0 OR end_lon = 0))"""
 CLEAN_STATIONS = f"""raw_st AS ({RAW_STATIONS}), stations AS (SELECT {INT.format('station_id', 1)} AS station_id, station_name,
  coalesce(CAST(try_strptime(go_live_date, '%m/%d/%Y') AS DATE), CAST(try_strptime(go_live_date, '%Y-%m-%d') AS DATE), DATE '1111-11-11') AS go_live_date,
- region, status FROM raw_st WHERE station_name NOT IN ('Virtual Station', 'Metro Bike Share Free Bikes',
- 'Metro Bike Share Out of Service Area Smart Bike'))"""
+ region, status FROM raw_st WHERE station_name NOT IN ({', '.join(f"'{n}'" for n in ADMINISTRATIVE)}))"""
 
 
 def raw_trips(spark, sf):
@@ -50,7 +49,7 @@ def trips(spark, sf):
 
 
 def stations(spark, sf):
-    return op.clean_stations(bind(spark, sf, RAW_STATIONS))
+    return op.clean_stations(bind(spark, sf, RAW_STATIONS), ADMINISTRATIVE)
 
 
 def flat(df):

@@ -40,9 +40,9 @@ INVENTORY_BODY = """i0 AS (SELECT *, day_state LIKE 'observed%' AS seen, day_sta
    WHEN recent_active_days = 0 AND days_since_last_observation > 45 THEN 5 ELSE 6 END AS rule FROM i4),
  inv AS (SELECT * EXCLUDE (rule, z), history_span_days AS history_days, observed_days AS n_observed_days, missing_in_service_days AS n_missing_days, observed_days / nullif(history_span_days, 0) AS observed_share,
    ['stale_inactive', 'newborn', 'sparse_mature', 'mature', 'stale_inactive', 'young'][rule] AS history_group,
-   ['No recent reliable observations inside the recent activity window.', 'Too few observed or in-service days for stable station diagnosis.', 'Long calendar span but weak coverage inside the apparent service window.',
-    'Sufficient observed history, service continuity, and recent availability.', 'Observed history exists but recent activity and recent coverage are both weak.',
-    'Observed history is usable but not yet strong enough for mature classification.'][rule] AS history_group_reason,
+   ['Nothing observed lately: the recent window holds too few observed days.', 'The station has been seen on too few days to be judged.', 'A long history with many days missing while in service.',
+    'Long, well covered history that is still going on.', 'There is a history, but no trips lately and few recent days.',
+    'Enough days to work with, not enough to count as mature.'][rule] AS history_group_reason,
    rule IN (2, 6) AS is_short_history, recent_active_days >= 1 AS appears_active_recently, coalesce(observed_zero_days / nullif(observed_days, 0) >= 0.95, false) AS is_zero_almost_always FROM i5)"""
 FACTS_BODY = """tot AS (SELECT date, sum(target) AS system_total FROM daily GROUP BY 1),
  f0 AS (SELECT p.*, day_state LIKE 'observed%' AS seen, CASE WHEN day_state LIKE 'observed%' THEN target END AS t, tot.system_total FROM panel p LEFT JOIN tot ON p.date = tot.date),
@@ -341,11 +341,11 @@ CATEGORY_BODY = """thr AS (SELECT coalesce((SELECT quantile_cont(avg_demand_obse
    WHEN avg_demand_observed >= busy_threshold AND coefficient_of_variation >= 1.35 THEN 'busy_volatile' WHEN weekday_effect_strength >= 0.18 AND weekend_ratio <= 0.85 THEN 'commuter_pattern'
    WHEN weekday_effect_strength IS NOT NULL AND weekend_ratio >= 1.2 THEN 'weekend_leisure' WHEN coverage_ratio < 0.55 THEN 'unclassified_due_to_low_coverage' ELSE 'mixed_profile' END AS behavior_label,
    coalesce(metric_reliable_behavior AND history_group = 'mature' AND coverage_ratio >= 0.8 AND observed_days >= 180, false) AS high,
-   concat_ws('; ', CASE WHEN NOT metric_reliable_behavior THEN 'behavior metrics do not meet minimum coverage thresholds' END, CASE WHEN history_group IN ('newborn', 'young') THEN 'station maturity is limited' END,
-     CASE WHEN coverage_ratio < 0.7 THEN 'coverage remains below the strong-confidence threshold' END, CASE WHEN observed_days < 120 THEN 'observed history is modest' END) AS rs FROM summary CROSS JOIN thr),
+   concat_ws('; ', CASE WHEN NOT metric_reliable_behavior THEN 'too little coverage for behaviour metrics' END, CASE WHEN history_group IN ('newborn', 'young') THEN 'the station is not mature' END,
+     CASE WHEN coverage_ratio < 0.7 THEN 'coverage is under 70 percent' END, CASE WHEN observed_days < 120 THEN 'fewer than 120 observed days' END) AS rs FROM summary CROSS JOIN thr),
  lab AS (SELECT *, CASE WHEN high THEN 'high' WHEN metric_reliable_behavior THEN 'medium' ELSE 'low' END AS behavior_label_confidence,
-   CASE WHEN high THEN 'High-confidence behavior label based on mature history and strong coverage.' WHEN rs <> '' THEN rs WHEN metric_reliable_behavior THEN 'Behavior label is usable but not high-confidence.'
-     ELSE 'Behavior label is unreliable due to weak data support.' END AS behavior_label_reliability_reason FROM catg)"""
+   CASE WHEN high THEN 'Mature, well covered history: the label can be trusted.' WHEN rs <> '' THEN rs WHEN metric_reliable_behavior THEN 'The label can be used with some care.'
+     ELSE 'Too little data to trust the label.' END AS behavior_label_reliability_reason FROM catg)"""
 LABELS = f"daily AS ({LABEL_DAILY}), {PANEL_BODY}, {INVENTORY_BODY}, {FACTS_BODY}, {CATEGORY_BODY}"
 
 

@@ -208,7 +208,7 @@ def _(spark, sf):
 @query(
     "g15_model_registry",
     f"""WITH {fc.SB} SELECT DISTINCT model_name, implementation, 'station_level' AS scope, 'baseline' AS family, false AS tuned, false AS experimental,
-    CASE model_name WHEN 'naive' THEN 'Last-observation carry-forward benchmark.' ELSE 'Seven-day seasonal naive benchmark.' END AS note FROM sbk""",
+    CASE model_name WHEN 'naive' THEN 'Repeats the last value.' ELSE 'Repeats the last week.' END AS note FROM sbk""",
 )
 def _(spark, sf):
     return wh.model_registry(fc.station_scored(spark, sf))

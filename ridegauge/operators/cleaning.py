@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ridegauge.functions import cleaning as fx
@@ -11,11 +13,6 @@ from ridegauge.session import cut_lineage
 # Rows that exist only for testing or administration.
 TEST_PLAN = "999"
 TEST_PASSHOLDER = "Testing"
-ADMINISTRATIVE_STATIONS = (
-    "Virtual Station",
-    "Metro Bike Share Free Bikes",
-    "Metro Bike Share Out of Service Area Smart Bike",
-)
 COORDINATES = ("start_lat", "start_lon", "end_lat", "end_lon")
 
 
@@ -60,8 +57,9 @@ def clean_trips(raw: DataFrame, imputed_bike: Column | None = None) -> DataFrame
     return drop_testing(drop_zero_coords(typed))
 
 
-def clean_stations(raw: DataFrame) -> DataFrame:
-    named = raw.filter(F.coalesce(~F.col("station_name").isin(*ADMINISTRATIVE_STATIONS), F.lit(True)))
+def clean_stations(raw: DataFrame, administrative: Sequence[str]) -> DataFrame:
+    """Typed stations; names in ``administrative`` are places that exist on paper only and go."""
+    named = raw.filter(F.coalesce(~F.col("station_name").isin(*administrative), F.lit(True)))
     return named.select(
         fx.check_station(F.col("station_id")).alias("station_id"),
         "station_name",

@@ -320,8 +320,8 @@ FAMILY = {
     "seasonal_difference_regression": "classical", "fourier_dynamic_regression": "classical", "gbt": "ml",
 }
 NOTES = {
-    "naive": "Last-observation carry-forward benchmark.",
-    "seasonal_naive_7": "Seven-day seasonal naive benchmark.",
+    "naive": "Repeats the last value.",
+    "seasonal_naive_7": "Repeats the last week.",
 }
 
 

@@ -52,10 +52,12 @@ SELECT CAST(k + 10 AS STRING) AS trip_id,
 FROM ({TRIP_BASE}) AS base
 """
 
+# Names of the stations that exist for administration only.
+ADMINISTRATIVE = ("Virtual Station", "Free Bikes", "Out of Service Area")
 RAW_STATIONS = """
 SELECT CASE WHEN s_suppkey % 29 = 5 THEN 'n/a' ELSE CAST(3000 + s_suppkey AS STRING) END AS station_id,
-       CASE s_suppkey % 37 WHEN 1 THEN 'Virtual Station' WHEN 2 THEN 'Metro Bike Share Free Bikes'
-            WHEN 3 THEN 'Metro Bike Share Out of Service Area Smart Bike' ELSE s_name END AS station_name,
+       CASE s_suppkey % 37 WHEN 1 THEN 'Virtual Station' WHEN 2 THEN 'Free Bikes'
+            WHEN 3 THEN 'Out of Service Area' ELSE s_name END AS station_name,
        CASE s_suppkey % 7 WHEN 0 THEN '#N/A' WHEN 1 THEN '2020-03-1x'
             ELSE CAST(1 + s_suppkey % 12 AS STRING) || '/' || CAST(1 + s_suppkey % 28 AS STRING) || '/2019' END AS go_live_date,
        r_name AS region, CASE WHEN s_acctbal < 0 THEN 'Inactive' ELSE 'Active' END AS status

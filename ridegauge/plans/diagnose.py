@@ -39,9 +39,9 @@ def diagnose(
     for part in parts:
         out = out.join(part, keys, "left")
     warnings = F.array(
-        F.when(F.col("imputed_points") > 0, "Some diagnostics relied on a filled cadence series."),
+        F.when(F.col("imputed_points") > 0, "Missing periods were filled before some diagnostics."),
         F.when(F.col("decomposition_status") != "ok", F.concat(F.lit("Decomposition: "), F.col("decomposition_status"))),
-        F.when(F.col("stationarity_test_status") != "ok", "Stationarity screening was partial or unavailable."),
+        F.when(F.col("stationarity_test_status") != "ok", "The stationarity screen did not run in full."),
     )
     return out.withColumn("level_shift_count", F.coalesce("level_shift_count", F.lit(0))).withColumn(
         "warnings", F.filter(warnings, lambda w: w.isNotNull())
