@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from ridegauge.functions.stats import unbiased_kurtosis, unbiased_skew
-from ridegauge.operators.keyed import exact_quantiles
+from ridegauge.operators.keyed import exact_quantiles, with_one_row
 from ridegauge.operators.linear import fleet_ols
 
 Keys = Sequence[str]
@@ -368,9 +368,7 @@ def histogram(df: DataFrame, keys: Keys, value: str, bins: int = 30) -> DataFram
     v = F.col(value)
     bounds = df.filter(v.isNotNull()).groupBy(*keys).agg(F.min(v).alias("_lo"), F.max(v).alias("_hi"))
     rows = df.filter(v.isNotNull())
-    rows = rows.join(bounds, list(keys)) if keys else rows.withColumns(
-        {c: bounds.select(c).scalar() for c in ("_lo", "_hi")}
-    )
+    rows = rows.join(bounds, list(keys)) if keys else with_one_row(rows, bounds)
     width = (F.col("_hi") - F.col("_lo")) / bins
     number = F.when(width > 0, F.least(F.floor((v - F.col("_lo")) / width) + 1, F.lit(bins))).otherwise(F.lit(1))
     return (

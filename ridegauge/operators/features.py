@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ridegauge.functions.calendar import calendar_columns, fourier_columns, is_us_holiday
-from ridegauge.operators.keyed import global_rank, last_per_key, per_date, require_columns
+from ridegauge.operators.keyed import global_rank, last_per_key, per_date, require_columns, with_one_row
 
 Keys = Sequence[str]
 
@@ -309,8 +309,7 @@ def standardize(df: DataFrame, stats: Mapping[str, tuple[float, float]]) -> Data
 
 def time_split(df: DataFrame, horizon: int) -> DataFrame:
     """Adds ``role``: the last ``horizon`` days validate, and everything trains when either side would be empty."""
-    ends = df.agg(F.min("date").alias("a"), F.max("date").alias("b"))
     cut = F.date_sub(F.col("_b"), horizon)
-    tagged = df.withColumn("_a", ends.select("a").scalar()).withColumn("_b", ends.select("b").scalar())
+    tagged = with_one_row(df, df.agg(F.min("date").alias("_a"), F.max("date").alias("_b")))
     role = F.when((F.col("_a") > cut) | (F.col("date") <= cut), "train").otherwise("valid")
     return tagged.withColumn("role", role).drop("_a", "_b")

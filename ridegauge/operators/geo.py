@@ -100,7 +100,8 @@ def nearest_join(
     The right side becomes a grid hierarchy, 4 x 4 children per cell with tight bounding boxes. Each left point keeps a
     short list of cells that may still hold its nearest point and descends level by level: a cell survives only when its
     smallest possible distance does not exceed the best guaranteed distance. Every join is on a cell id with at most 16
-    children, so neither side is multiplied by the other; hot cells are salted. ``left_key`` must be unique.
+    children, so neither side is multiplied by the other; hot cells are salted. Rows that repeat a key get their own
+    answers where their places differ.
     """
     points = (
         right.select(
@@ -176,5 +177,8 @@ def nearest_join(
     ends = tree.select(F.col("cx").alias("px"), F.col("cy").alias("py"), "rx", "ry", "rv")
     last = on_cell(frontier, ends, bounded=box["n"] <= 65_536)
     dx, dy = F.col("x") - F.col("rx"), F.col("y") - F.col("ry")
-    found = last.groupBy("k").agg(F.min_by("rv", F.struct(F.sqrt(dx * dx + dy * dy), "rv")).alias(right_value))
-    return left.join(found.withColumnRenamed("k", left_key), left_key, "left")
+    found = last.groupBy(F.col("k").alias("_k"), F.col("x").alias("_x"), F.col("y").alias("_y")).agg(
+        F.min_by("rv", F.struct(F.sqrt(dx * dx + dy * dy), "rv")).alias(right_value)
+    )
+    same = (left[left_key] == F.col("_k")) & (left[left_xy[0]].cast("double") == F.col("_x")) & (left[left_xy[1]].cast("double") == F.col("_y"))
+    return left.join(found, same, "left").drop("_k", "_x", "_y")

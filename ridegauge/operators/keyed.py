@@ -21,6 +21,13 @@ def rows_at_most(df: DataFrame, bound: int) -> bool:
     return df.limit(bound + 1).count() <= bound
 
 
+def with_one_row(df: DataFrame, frame: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """``df`` with the columns of ``frame``, an aggregate of one row, by a single subquery however many columns it has."""
+    names = list(columns or frame.columns)
+    packed = frame.select(F.struct(*names).alias("_row")).scalar()
+    return df.withColumn("_row", packed).select(*df.columns, *[F.col("_row")[n].alias(n) for n in names])
+
+
 def per_date(df: DataFrame) -> DataFrame:
     """Mark a frame with one row per calendar date.
 

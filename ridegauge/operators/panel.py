@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window as W, WindowSpec, functions as
 
 from ridegauge.config import StationConfig
 from ridegauge.functions.stats import robust_cv, safe_ratio
-from ridegauge.operators.keyed import exact_quantiles, per_date
+from ridegauge.operators.keyed import exact_quantiles, per_date, with_one_row
 
 
 def by_station() -> WindowSpec:
@@ -32,15 +32,13 @@ def panel_grid(daily: DataFrame) -> DataFrame:
 
     A row also emits the empty days up to its successor: one window per station, no stations x calendar join.
     """
-    ends = daily.agg(F.min("date").alias("a"), F.max("date").alias("b"))
-    rows = daily.select("station_id", "date", "target").withColumns(
+    ends = daily.agg(F.min("date").alias("_start"), F.max("date").alias("global_end"))
+    rows = with_one_row(daily.select("station_id", "date", "target"), ends).withColumns(
         {
             "_prev": F.lag("date").over(by_date()),
             "_next": F.lead("date").over(by_date()),
             "first_observed_date": F.min("date").over(by_station()),
             "last_observed_date": F.max("date").over(by_station()),
-            "_start": ends.select("a").scalar(),
-            "global_end": ends.select("b").scalar(),
         }
     )
     first = F.when(F.col("_prev").isNull(), F.col("_start")).otherwise(F.col("date"))
@@ -496,9 +494,7 @@ def validation_checks(daily: DataFrame, config: StationConfig = StationConfig())
         F.sum(F.col("warning_too_few_usable_days").cast("int")).alias("stations_with_too_little_usable_data"),
         F.sum(F.col("warning_long_missing_gap").cast("int")).alias("stations_with_long_missing_spans"),
     )
-    one = errors.withColumns(
-        {c: frame.select(c).scalar() for frame in (spikes, warned) for c in frame.columns}  # one-row aggregates
-    )
+    one = with_one_row(with_one_row(errors, spikes), warned)
     messages = {
         "invalid_dates": "Every row needs a valid date.",
         "blank_station_ids": "Every row needs a station id that is not blank.",

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ridegauge.config import FREQUENCY_STEP
+from ridegauge.operators.keyed import with_one_row
 
 Keys = Sequence[str]
 
@@ -154,7 +155,7 @@ def index_summary(collapsed: DataFrame, prepared: DataFrame, keys: Keys) -> Data
     if keys:
         joined = source.join(grid, list(keys))
     else:
-        joined = source.withColumns({c: grid.select(c).scalar() for c in grid.columns})  # one row each
+        joined = with_one_row(source, grid)
     return joined.withColumn("time_index_reliable", F.col("irregular_spacing_count") == 0)
 
 

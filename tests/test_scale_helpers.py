@@ -76,3 +76,10 @@ def test_ari_of_itself(spark):
     df = spark.range(60).select((F.col("id") % 4).alias("a"), ((F.col("id") + 1) % 4).alias("b"))
     assert cl.ari(df, "a", "a").collect()[0].ari == pytest.approx(1.0)
     assert cl.ari(df, "a", "b").collect()[0].ari == pytest.approx(1.0)
+
+
+def test_nearest_join_with_repeated_keys(spark):
+    left = spark.createDataFrame([(1, 0.0, 0.0), (1, 9.0, 9.0), (2, None, 1.0)], "k int, latitude double, longitude double")
+    right = spark.createDataFrame([("a", 0.1, 0.1), ("b", 8.0, 8.0)], "zip string, latitude double, longitude double")
+    rows = {(r["k"], r["latitude"]): r["zip"] for r in geo.nearest_join(left, right, "k", "zip").collect()}
+    assert rows == {(1, 0.0): "a", (1, 9.0): "b", (2, None): None}
