@@ -14,7 +14,6 @@ from ridegauge.plans.bindings import table
 from ridegauge.plans.station import slice_lookup
 
 KEYS = ["series_id"]
-SMALL = replace(StationConfig(), k_values=(2, 3), cluster_seeds=(11, 19), bootstrap_iterations=2, preferred_k=3)
 
 
 # ---- clusters --------------------------------------------------------------------------------------------------------
@@ -111,18 +110,18 @@ def _(spark, sf):
 
 @query("j07_j09_cluster_selection")
 def _(spark, sf):
-    return rounded(cl.cluster_stations(st.categorized(spark, sf), SMALL)[2])
+    return rounded(cl.cluster_stations(st.categorized(spark, sf), StationConfig())[2])
 
 
 @query("j14_cluster_stations")
 def _(spark, sf):
-    out = cl.cluster_stations(st.categorized(spark, sf), SMALL)[0]
+    out = cl.cluster_stations(st.categorized(spark, sf), StationConfig())[0]
     return out.select("station_id", "cluster_eligible", "cluster_ineligible_reason", "cluster_label", "cluster_assignment_confidence")
 
 
 @query("a13_slice_lookup")
 def _(spark, sf):
-    return slice_lookup(st.daily(spark, sf, st.LABEL_DAILY_SPARK), None, SMALL)
+    return slice_lookup(st.daily(spark, sf, st.LABEL_DAILY_SPARK), None, StationConfig())
 
 
 # ---- guards and production -------------------------------------------------------------------------------------------
@@ -272,21 +271,31 @@ def _(spark, sf):
     return rounded(bt.compare_models(folds, ("series_id", "model_name", "horizon")))
 
 
-FAST = {"learning_rate": 0.1, "max_depth": 3, "n_estimators": 5}
+def tree_rows(panel):
+    mapping = ft.category_map(panel, "station_id")
+    frame = ft.encode(ft.station_features(panel), "station_id", mapping, "station_code")
+    return ft.training_rows(frame, [c for c in md.TREE_COLUMNS if c != "station_code"])
 
 
 @query("l08_l10_station_trees")
 def _(spark, sf):
-    return rounded(md.station_trees(fc.station_panel(spark, sf), 3, FAST))
+    panel = fc.station_panel(spark, sf)
+    rows = tree_rows(panel)
+    out = None
+    for family, grid in md.TREE_GRID.items():
+        forecast = md.station_trees(panel, 30, md.tune(rows, grid, 30)[0], family)
+        out = forecast if out is None else out.unionByName(forecast)
+    return rounded(out)
 
 
 @query("l09_tune")
 def _(spark, sf):
-    panel = fc.station_panel(spark, sf)
-    mapping = ft.category_map(panel, "station_id")
-    frame = ft.encode(ft.station_features(panel), "station_id", mapping, "station_code")
-    rows = ft.training_rows(frame, [c for c in md.TREE_COLUMNS if c != "station_code"])
-    return rounded(md.tune(rows, (FAST, {**FAST, "max_depth": 2}), 30)[1])
+    rows = tree_rows(fc.station_panel(spark, sf))
+    out = None
+    for family, grid in md.TREE_GRID.items():
+        tuned = md.tune(rows, grid, 30)[1].withColumn("family", F.lit(family))
+        out = tuned if out is None else out.unionByName(tuned)
+    return rounded(out)
 
 
 @query("l14_run_family")

@@ -96,8 +96,13 @@ def _vector(matrix: DataFrame) -> DataFrame:
     return VectorAssembler(inputCols=columns, outputCol="features").transform(matrix).select("station_id", "features")
 
 
+#: Each seed keeps the fit with the least cost of so many starts.
+STARTS = 20
+
+
 def _fit(data: DataFrame, k: int, seed: int):
-    return KMeans(k=k, seed=seed, featuresCol="features", predictionCol="label", maxIter=50).fit(data)
+    fits = (KMeans(k=k, seed=seed + 1_000 * i, featuresCol="features", predictionCol="label", maxIter=50).fit(data) for i in range(STARTS))
+    return min(fits, key=lambda model: model.summary.trainingCost)
 
 
 def bootstrap_ari(data: DataFrame, reference: DataFrame, k: int, config: StationConfig) -> float:

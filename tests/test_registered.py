@@ -7,8 +7,9 @@ import datetime as dt
 import pytest
 
 import __spark_entry__ as entry
-from ridegauge.config import BacktestConfig
-from ridegauge.operators import models as md
+from ridegauge.catalog import models as cm
+from ridegauge.config import BacktestConfig, StationConfig
+from ridegauge.operators import clustering as cl, models as md
 
 QUERIES = entry.queries()
 SF = "/root/testdata/sf0.001"
@@ -53,3 +54,29 @@ def test_fitted_folds_against_fits_of_cut_series(spark):
         for r in make(frame([x for x in rows if x[1] <= end]), ["series_id"], h).collect():
             want[r["model_name"], r["date"]] = r["prediction"]
     assert found == pytest.approx(want, rel=1e-6)
+
+
+@pytest.mark.parametrize("name,owner,call", [("j07_j09_cluster_selection", cl, "cluster_stations"), ("j14_cluster_stations", cl, "cluster_stations"), ("a13_slice_lookup", cm, "slice_lookup")])
+def test_clusters_use_the_whole_configuration(spark, monkeypatch, name, owner, call):
+    found = asked(monkeypatch, owner, call, name)
+    with pytest.raises(Asked):
+        QUERIES[name](spark, SF)
+    assert found[-1] == StationConfig()
+
+
+def test_each_cluster_seed_keeps_the_best_start(spark):
+    points = [(str(i), float(x), float(i % 3)) for i, x in enumerate([0] * 12 + [10] * 12 + [20] * 3 + [21] * 3 + [50] * 12)]
+    data = cl._vector(spark.createDataFrame(points, "station_id string, x double, y double")).cache()
+    costs = [cl.KMeans(k=5, seed=11 + 1_000 * i, featuresCol="features", predictionCol="label", maxIter=50).fit(data).summary.trainingCost for i in range(cl.STARTS)]
+    assert cl._fit(data, 5, 11).summary.trainingCost == pytest.approx(min(costs))
+
+
+@pytest.mark.parametrize("name", ["l08_l10_station_trees", "l09_tune"])
+def test_trees_use_the_whole_grid(spark, monkeypatch, name):
+    tuned, made = [], []
+    frame = spark.createDataFrame([(1, 2.0)], "i int, v double")
+    monkeypatch.setattr(md, "tune", lambda rows, grid, horizon: (tuned.append((grid, horizon)), (grid[1], frame))[1])
+    monkeypatch.setattr(md, "station_trees", lambda panel, horizon, params, family: (made.append((horizon, params, family)), frame)[1])
+    QUERIES[name](spark, SF)
+    assert tuned == [(grid, 30) for grid in md.TREE_GRID.values()]
+    assert name == "l09_tune" or made == [(30, grid[1], family) for family, grid in md.TREE_GRID.items()]
