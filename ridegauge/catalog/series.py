@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ridegauge.catalog.base import NUDGE, query, rounded
+from ridegauge.config import SeriesDiagnosisConfig
 from ridegauge.operators import diagnosis as dg, timeindex as ti
 from ridegauge.plans.bindings import bind, table
 from ridegauge.plans.diagnose import diagnose
@@ -205,9 +206,20 @@ def _(spark, sf):
     return rounded(dg.acf(prepared(spark, sf), KEYS, 40))
 
 
+@query(
+    "h16_acf_all_lags",
+    f"""WITH {PREP}, c AS (SELECT series_id, pos, value_filled - avg(value_filled) OVER (PARTITION BY series_id) AS d FROM prep),
+    z AS (SELECT series_id, sum(d * d) AS z FROM c GROUP BY 1)
+    SELECT a.series_id, a.pos - b.pos AS lag, round(sum(a.d * b.d) / any_value(z), 6) AS acf FROM c a JOIN c b ON a.series_id = b.series_id AND a.pos - b.pos BETWEEN 0 AND {SeriesDiagnosisConfig().max_acf_lag}
+    JOIN z ON a.series_id = z.series_id GROUP BY 1, 2""",
+)
+def _(spark, sf):
+    return rounded(dg.acf(prepared(spark, sf), KEYS, SeriesDiagnosisConfig().max_acf_lag))
+
+
 @query("h16_pacf")
 def _(spark, sf):
-    return rounded(dg.pacf(dg.acf(prepared(spark, sf), KEYS, 40), KEYS))
+    return rounded(dg.pacf(dg.acf(prepared(spark, sf), KEYS, SeriesDiagnosisConfig().max_acf_lag), KEYS))
 
 
 @query(

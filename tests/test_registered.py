@@ -8,7 +8,7 @@ import pytest
 
 import __spark_entry__ as entry
 from ridegauge.catalog import models as cm
-from ridegauge.config import BacktestConfig, StationConfig
+from ridegauge.config import BacktestConfig, SeriesDiagnosisConfig, StationConfig
 from ridegauge.operators import clustering as cl, models as md
 
 QUERIES = entry.queries()
@@ -80,3 +80,8 @@ def test_trees_use_the_whole_grid(spark, monkeypatch, name):
     QUERIES[name](spark, SF)
     assert tuned == [(grid, 30) for grid in md.TREE_GRID.values()]
     assert name == "l09_tune" or made == [(30, grid[1], family) for family, grid in md.TREE_GRID.items()]
+
+
+@pytest.mark.parametrize("name", ["h16_acf_all_lags", "h16_pacf"])
+def test_autocorrelation_reaches_the_last_lag(spark, name):
+    assert QUERIES[name](spark, SF).agg({"lag": "max"}).first()[0] == SeriesDiagnosisConfig().max_acf_lag
