@@ -88,9 +88,23 @@ def _pages(placed: DataFrame, limit: int) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, path: str, limit: int = SHARD_BYTES) -> None:
-    """Write ``docs`` to ``path``, one folder a shard. Rows that repeat an id go to the first page of that id."""
-    shards = assign(docs, limit).groupBy(F.col("doc_id").alias("_id")).agg(F.min("shard").alias("shard"))
-    out = docs.drop("shard").join(shards, docs["doc_id"].eqNullSafe(shards["_id"])).drop("_id")
+    """Write ``docs`` to ``path``, one folder a shard. Rows of an id with overflow pages take its pages in the order of their sizes."""
+    from ridegauge.operators.keyed import global_rank
+
+    docs = docs.drop("shard")
+    placed = materialize(assign(docs, limit).select(F.col("doc_id").alias("_id"), F.col("bytes").alias("_bytes"), "page", "shard"))
+    ids = placed.groupBy("_id").agg(F.min("shard").alias("shard"), F.max("shard").alias("_last"))
+    single, paged = ids.filter("shard = _last").drop("_last"), ids.filter("shard <> _last").select(F.col("_id").alias("_paged"))
+    out = docs.join(single, docs["doc_id"].eqNullSafe(single["_id"])).drop("_id")
+    if not paged.isEmpty():
+        # Both sides hold the same ids and sizes, so equal ranks are rows of equal id and size; the last key spreads equal rows over tasks.
+        row = F.monotonically_increasing_id()
+        pages = placed.join(paged, placed["_id"].eqNullSafe(paged["_paged"]), "left_semi").withColumn("_row", row)
+        ranks = global_rank(pages, ["_id", "_bytes", "page", "_row"], "_rank").select("_rank", "shard")
+        rows = docs.join(paged, docs["doc_id"].eqNullSafe(paged["_paged"]), "left_semi")
+        rows = rows.withColumn("_bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")).withColumn("_row", row)
+        rows = global_rank(rows, ["doc_id", "_bytes", "_row"], "_rank").join(ranks, "_rank").select(*docs.columns, "shard")
+        out = out.unionByName(rows)
     out.repartition("shard").write.partitionBy("shard").parquet(path)
 
 
