@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ridegauge.llm import bpe, dedup, langid, lm, packing, quality, rules, sharding, simhash, urls
+from ridegauge.llm import align, bpe, bytebpe, dedup, langid, lm, packing, quality, rules, sharding, simhash, urls
 
 QUERIES = {
     f.__name__: f
@@ -17,6 +17,8 @@ QUERIES = {
         simhash.op8_simhash_near_dedup,
         lm.op9_lm_scoring,
         packing.op10_packing,
+        align.op11_tokenizer_alignment,
+        bytebpe.op12_byte_bpe,
     )
 }
 ORACLES = {"op2_url_filters": urls.SQL, "op3_exact_dedup": dedup.SQL, "op4_sharding": sharding.SQL}
