@@ -261,7 +261,7 @@ def _counts(asked: DataFrame) -> DataFrame:
 
 def _asked(blocks: DataFrame) -> DataFrame:
     lists = blocks.filter("pairs IS NOT NULL").select("block", F.posexplode(F.arrays_zip("pairs", "held")).alias("at", "of"))
-    return lists.select("block", "at", F.col("of.pairs").alias("pair"), F.col("of.held").alias("held"))
+    return lists.select("block", "at", F.col("of.pairs").alias("pair"), F.col("of.held").alias("held")).filter("held > 0")  # runs of texts without tokens may bring others
 
 
 def pair_counts(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
@@ -273,7 +273,7 @@ def pair_counts(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
 
 def _meet(documents: pa.Table, answers: pa.Table) -> pa.Table:
     at = answers["at"].to_numpy()
-    docs, best = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+    docs, best = np.zeros((2, int(at.max(initial=-1)) + 1), np.int64)
     docs[at], best[at] = answers["docs"].to_numpy(), answers["best"].to_numpy().astype(np.int64)
     n_best, total = [], []
     for packed in documents["links"].to_pylist():

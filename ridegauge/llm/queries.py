@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ridegauge.llm import align, bpe, bytebpe, dedup, langid, lm, packing, quality, rules, sharding, simhash, urls
+from ridegauge.llm import align, bpe, bytebpe, dedup, langid, lm, packing, quality, rules, sharding, simhash, turns, urls
 
 QUERIES = {
     f.__name__: f
@@ -19,6 +19,7 @@ QUERIES = {
         packing.op10_packing,
         align.op11_tokenizer_alignment,
         bytebpe.op12_byte_bpe,
+        turns.op13_conversation_repair,
     )
 }
 ORACLES = {"op2_url_filters": urls.SQL, "op3_exact_dedup": dedup.SQL, "op4_sharding": sharding.SQL}
