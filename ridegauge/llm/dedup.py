@@ -4,12 +4,14 @@
 2. A block sends each owner of a fingerprint range its sorted distinct fingerprints, Golomb-coded, with a bitmap of those that the
    block itself holds more than once.
 3. An owner compares the blocks' lists and answers each block with a bitmap of the fingerprints that occur elsewhere too.
-4. Rows under a set bit are suspects. Only suspects' texts are shuffled: grouping by the whole normalised text compares bytes, with
+4. Rows under a set bit are suspects. Up to ``BROADCAST_GROUPS`` distinct suspect hashes are broadcast, so that only suspects' texts leave their task;
+   beyond that, texts meet the hashes in a join on (hash, salt), which spreads a large group. Grouping by the whole normalised text compares bytes, with
    partial aggregation before the shuffle, so that a group of copies of any size is one row a task.
 
 Null counts as empty. White space inside a text is one space for each run of ``[\\x20\\x09-\\x0D]``; ends are not trimmed. Of equal
 texts, the smallest id stays. Rows that repeat both id and text are the same document and get the same answer; a null id is
-larger than any other. Columns beyond doc_id and text are not read; :func:`drop_copies` keeps them as they are.
+larger than any other. Columns beyond doc_id and text are not read by :func:`find_copies`; :func:`drop_copies` keeps them, and of rows that
+repeat the id and text that stay it keeps one, chosen by a hash of all columns.
 """
 
 from __future__ import annotations
@@ -29,6 +31,9 @@ from ridegauge.llm.exchange import rice_decode, rice_encode
 BLOCK_ROWS = 1 << 18
 BLOCKS_AN_OWNER = 8
 FINGERPRINT_BITS = 48
+#: At about 100 bytes a group, 50 MB are broadcast at most.
+BROADCAST_GROUPS = 500_000
+SALTS = 16
 _TO_SPACE = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
 
 
@@ -125,30 +130,51 @@ def find_copies(docs: DataFrame) -> DataFrame:
         .applyInPandas(_mark, f"doc_id struct<doc_id: {id_type}>, sha binary, suspect boolean")
         .select("doc_id.doc_id", "sha", "suspect")
     )
-    wanted = flagged.filter("suspect").select("sha").distinct()
+    suspects = flagged.filter("suspect").select("doc_id", F.lower(F.hex("sha")).alias("text_sha256"))
+    wanted = suspects.select(F.col("text_sha256").alias("sha")).distinct()
+    few = wanted.count() <= BROADCAST_GROUPS
     texts = docs.select("doc_id", normalised(F.col("text")).alias("whole")).withColumn("sha", F.sha2("whole", 256))
-    suspects = texts.join(wanted.select(F.lower(F.hex("sha")).alias("sha")), "sha", "left_semi")
+    found = _meet(texts, wanted, "sha", few, "left_semi")
     # Grouping by the whole text compares bytes; two texts behind one hash would be an error, never a merge.
-    verified = suspects.groupBy("sha", "whole").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    verified = found.groupBy("sha", "whole").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     groups = verified.groupBy("sha").agg(
         F.min("keep_id").alias("keep_id"), F.max("group_size").alias("group_size"), F.count(F.lit(1)).alias("texts")
     )
-    groups = groups.select("sha", "keep_id", F.when(F.col("texts") == 1, F.col("group_size")).otherwise(F.raise_error(F.lit("two texts with one hash"))).alias("group_size"))
-    rows = flagged.withColumn("text_sha256", F.lower(F.hex("sha")))
-    alone = rows.filter("NOT suspect").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
-    shared = rows.filter("suspect").join(groups, F.col("text_sha256") == groups["sha"]).select(
-        "doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
+    groups = groups.select("sha", "keep_id", F.when(F.col("texts") == 1, F.col("group_size")).otherwise(F.raise_error(F.lit("two texts with one hash"))).cast("long").alias("group_size"))
+    alone = flagged.filter("NOT suspect").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
+    shared = _meet(suspects.withColumnRenamed("text_sha256", "sha"), groups, "sha", few, "inner").select(
+        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256")
     )
     return alone.unionByName(shared)
 
 
+def _meet(rows: DataFrame, one_a_key: DataFrame, key: str, few: bool, how: str) -> DataFrame:
+    """``rows`` joined with a side that has one row a key: broadcast if that side is known to be small, else with its rows repeated for each salt."""
+    if few:
+        return rows.join(F.broadcast(one_a_key), key, how)
+    salted = one_a_key.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, [key, "salt"], how).drop("salt")
+
+
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows that are later copies; all columns stay."""
-    found = find_copies(docs).filter("NOT kept").select(F.col("doc_id").alias("copy_id"), F.col("text_sha256").alias("copy_sha")).distinct()
+    """``docs`` with one document of each group of equal texts; all columns stay."""
+    rows = materialize(find_copies(docs).select("doc_id", "kept", "text_sha256"))
+    # One row for each document that has to go or that is there more than once.
+    listed = rows.groupBy("doc_id", "text_sha256").agg(F.first("kept").alias("kept"), F.count(F.lit(1)).alias("times")).filter("NOT kept OR times > 1")
+    listed = materialize(listed.select(F.col("doc_id").alias("listed_id"), F.col("text_sha256").alias("listed_sha"), "kept"))
+    many, repeated = listed.agg(F.count(F.lit(1)), F.count_if("kept")).first()
+    if many <= BROADCAST_GROUPS:
+        listed = F.broadcast(listed)
     sha = fresh(docs, "whole_sha")
     marked = docs.withColumn(sha, F.sha2(normalised(F.col("text")), 256))
-    same = marked["doc_id"].eqNullSafe(found["copy_id"]) & (marked[sha] == found["copy_sha"])
-    return marked.join(found, same, "left_anti").drop(sha)
+    same = marked["doc_id"].eqNullSafe(listed["listed_id"]) & (marked[sha] == listed["listed_sha"])
+    left = marked.join(listed, same, "left_anti").drop(sha)
+    if not repeated:
+        return left
+    again = marked.join(listed.filter("kept"), same, "left_semi")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    one = again.groupBy("doc_id", sha).agg(F.min_by(row, F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])).alias("row"))
+    return left.unionByName(one.select("row.*"))
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

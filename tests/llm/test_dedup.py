@@ -45,9 +45,10 @@ def test_packed_words_and_numbers_round_trip():
         assert len(exchange.unpack_numbers(exchange.pack_numbers(a[:0]), kind)) == 0
 
 
-@pytest.mark.parametrize("block_rows", [dedup.BLOCK_ROWS, 7])
-def test_exact_copies(messy, monkeypatch, block_rows):
+@pytest.mark.parametrize(("block_rows", "broadcast_groups"), [(dedup.BLOCK_ROWS, dedup.BROADCAST_GROUPS), (7, 0)])
+def test_exact_copies(messy, monkeypatch, block_rows, broadcast_groups):
     monkeypatch.setattr(dedup, "BLOCK_ROWS", block_rows)
+    monkeypatch.setattr(dedup, "BROADCAST_GROUPS", broadcast_groups)
     rows = messy.select("doc_id", "text").collect()
     groups = defaultdict(list)
     for r in rows:
@@ -60,8 +61,9 @@ def test_exact_copies(messy, monkeypatch, block_rows):
     assert got == want
     kept = dedup.drop_copies(messy)
     assert kept.columns == messy.columns
-    texts = [whole(r["text"]) for r in kept.select("doc_id", "text").dropDuplicates(["doc_id", "text"]).collect()]
-    assert sorted(texts) == sorted(groups)
+    left = kept.select("doc_id", "text").collect()
+    assert sorted(whole(r["text"]) for r in left) == sorted(groups)
+    assert all(r["doc_id"] == smallest(groups[whole(r["text"])]) for r in left)
 
 
 def test_no_documents(nothing):

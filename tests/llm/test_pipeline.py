@@ -8,9 +8,11 @@ import pytest
 from compare import compare, oracle
 from test_tokens import check_pieces, plain
 
+import __spark_entry__
 import corpus_pipeline
-from ridegauge.llm import queries, quality, rules, simhash, textstats
-from test_dedup import slow_fingerprint, whole
+from ridegauge.llm import queries, quality, rules, textstats
+from test_dedup import whole
+from test_shingles import first_ids
 
 SF = "/root/testdata/sf0.001"
 
@@ -33,23 +35,13 @@ def test_pipeline_against_brute_force(spark, tokenizer):
             continue
         if whole(r["text"]) not in {whole(t) for t in left.values()}:
             left[r["doc_id"]] = r["text"]
-    prints = {i: slow_fingerprint(t) for i, t in left.items()}
-    groups = {i: i for i in left}
-    for _ in left:
-        changed = False
-        for i in left:
-            for j in left:
-                if (prints[i] ^ prints[j]).bit_count() <= simhash.RADIUS and groups[i] != groups[j]:
-                    groups[i] = groups[j] = min(groups[i], groups[j])
-                    changed = True
-        if not changed:
-            break
+    stay = first_ids(list(left.items()))
     t = plain(tokenizer)
     ids = defaultdict(list)
     for i in left:
-        if groups[i] == i:
+        if i in stay:
             ids[i].append([*t.encode(left[i] or "", add_special_tokens=False).ids, 1])
-    rows = corpus_pipeline.run(spark, SF).collect()
+    rows = __spark_entry__.queries()["pipeline"](spark, SF).collect()
     assert {r["doc_id"] for r in rows} == set(ids) and len(ids) > 50
     check_pieces(rows, ids, 2048)
 
