@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 from pyspark.sql import functions as F
 
 from ridegauge.catalog import forecasting as fc, stations as st
@@ -225,37 +223,32 @@ def _(spark, sf):
     return rounded(iv.fit_diagnostics(md.differenced_regression(fc.target(spark, sf), KEYS, 30)))
 
 
-# The last two weekly origins: every fold refits every model, so the registered form keeps the number of fits moderate.
-FITTED_CONFIG = replace(fc.CONFIG, horizons=(7,), max_folds=2)
-FITTED_BACK = fc.BACK.replace("(VALUES (7), (30)) h(horizon)", "(VALUES (7)) h(horizon)").replace("cut DESC) <= 8", "cut DESC) <= 2")
-
-
 @query(
     "m03_fitted_backtest",
-    f"""WITH {FITTED_BACK} SELECT series_id, fold_id, horizon, horizon_step, date, train_end, round(actual, 6) AS actual, m.model, true AS non_negative
+    f"""WITH {fc.BACK} SELECT series_id, fold_id, horizon, horizon_step, date, train_end, round(actual, 6) AS actual, m.model, true AS non_negative
     FROM bk CROSS JOIN (VALUES ('ets'), ('fourier_dynamic_regression'), ('seasonal_difference_regression')) m(model) WHERE model_name = 'naive'""",
 )
 def _(spark, sf):
-    rows = md.fitted_backtest(fc.target(spark, sf), KEYS, FITTED_CONFIG)
+    rows = md.fitted_backtest(fc.target(spark, sf), KEYS, fc.CONFIG)
     model = F.regexp_replace("model_name", "_fallback$", "").alias("model")
     return rounded(rows.select("series_id", "fold_id", "horizon", "horizon_step", "date", "train_end", "actual", model, (F.col("prediction") >= 0).alias("non_negative")))
 
 
 @query(
     "m10_compare_all_models",
-    f"""WITH {FITTED_BACK}, al AS (SELECT series_id, fold_id, horizon, actual, model_name FROM bk UNION ALL SELECT series_id, fold_id, horizon, actual, m.model
+    f"""WITH {fc.BACK}, al AS (SELECT series_id, fold_id, horizon, actual, model_name FROM bk UNION ALL SELECT series_id, fold_id, horizon, actual, m.model
       FROM bk CROSS JOIN (VALUES ('ets'), ('fourier_dynamic_regression'), ('seasonal_difference_regression')) m(model) WHERE model_name = 'naive'),
     f AS (SELECT series_id, model_name, horizon, fold_id, count(actual) AS n FROM al GROUP BY 1, 2, 3, 4)
     SELECT series_id, model_name, horizon, count(DISTINCT fold_id) AS folds, round(avg(n), 6) AS mean_rows FROM f GROUP BY 1, 2, 3""",
 )
 def _(spark, sf):
-    fitted = md.fitted_backtest(fc.target(spark, sf), KEYS, FITTED_CONFIG).withColumn("model_name", F.regexp_replace("model_name", "_fallback$", ""))
-    every = bt.baseline_backtest(fc.target(spark, sf), KEYS, FITTED_CONFIG).unionByName(fitted)
+    fitted = md.fitted_backtest(fc.target(spark, sf), KEYS, fc.CONFIG).withColumn("model_name", F.regexp_replace("model_name", "_fallback$", ""))
+    every = bt.baseline_backtest(fc.target(spark, sf), KEYS, fc.CONFIG).unionByName(fitted)
     folds = bt.metrics(every, ["series_id", "model_name", "fold_id", "horizon"])
     return rounded(bt.compare_models(folds, ("series_id", "model_name", "horizon")).select("series_id", "model_name", "horizon", "folds", "mean_rows"))
 
 
-# The whole configuration (8 folds, 7 and 30 days). SQL cannot fit these models; the two queries above keep the origins of their SQL.
+# SQL cannot fit these models; forecasts, errors and ranks are tested against fits of cut series.
 
 
 @query("m03_fitted_forecasts")
@@ -280,20 +273,15 @@ def tree_rows(panel):
 @query("l08_l10_station_trees")
 def _(spark, sf):
     panel = fc.station_panel(spark, sf)
-    rows = tree_rows(panel)
-    out = None
-    for family, grid in md.TREE_GRID.items():
-        forecast = md.station_trees(panel, 30, md.tune(rows, grid, 30)[0], family)
-        out = forecast if out is None else out.unionByName(forecast)
-    return rounded(out)
+    chosen = {family: params for family, (params, _) in md.tune_families(tree_rows(panel), md.TREE_GRID, 30).items()}
+    return rounded(md.station_tree_families(panel, 30, chosen))
 
 
 @query("l09_tune")
 def _(spark, sf):
-    rows = tree_rows(fc.station_panel(spark, sf))
     out = None
-    for family, grid in md.TREE_GRID.items():
-        tuned = md.tune(rows, grid, 30)[1].withColumn("family", F.lit(family))
+    for family, (_, table_) in md.tune_families(tree_rows(fc.station_panel(spark, sf)), md.TREE_GRID, 30).items():
+        tuned = table_.withColumn("family", F.lit(family))
         out = tuned if out is None else out.unionByName(tuned)
     return rounded(out)
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ridegauge.catalog.base import NUDGE, query, rounded
 from ridegauge.config import SeriesDiagnosisConfig
-from ridegauge.operators import diagnosis as dg, timeindex as ti
+from ridegauge.operators import changepoints as cp, diagnosis as dg, timeindex as ti
 from ridegauge.plans.bindings import bind, table
 from ridegauge.plans.diagnose import diagnose
 
@@ -199,11 +199,11 @@ def _(spark, sf):
     "h16_acf",
     f"""WITH {PREP}, c AS (SELECT series_id, pos, value_filled - avg(value_filled) OVER (PARTITION BY series_id) AS d FROM prep),
     z AS (SELECT series_id, sum(d * d) AS z FROM c GROUP BY 1)
-    SELECT a.series_id, a.pos - b.pos AS lag, round(sum(a.d * b.d) / any_value(z), 6) AS acf FROM c a JOIN c b ON a.series_id = b.series_id AND a.pos - b.pos BETWEEN 0 AND 40
+    SELECT a.series_id, a.pos - b.pos AS lag, round(sum(a.d * b.d) / any_value(z), 6) AS acf FROM c a JOIN c b ON a.series_id = b.series_id AND a.pos - b.pos BETWEEN 0 AND {SeriesDiagnosisConfig().max_acf_lag}
     JOIN z ON a.series_id = z.series_id GROUP BY 1, 2""",
 )
 def _(spark, sf):
-    return rounded(dg.acf(prepared(spark, sf), KEYS, 40))
+    return rounded(dg.acf(prepared(spark, sf), KEYS, SeriesDiagnosisConfig().max_acf_lag))
 
 
 @query(
@@ -387,6 +387,21 @@ def _(spark, sf):
     return rounded(dg.level_shifts(prepared(spark, sf), KEYS))
 
 
+@query("h25_change_points")
+def change_points(spark, sf):
+    return rounded(cp.change_points(prepared(spark, sf), KEYS))
+
+
+@query(
+    "h25_level_shift_status",
+    f"""WITH {PREP} SELECT series_id, CASE WHEN count(*) >= 40 THEN 'ok' ELSE 'insufficient_history' END AS level_shift_detection_status,
+    'penalised_partitioning_least_squares' AS level_shift_detection_method, CASE WHEN count(*) >= 40 THEN 'the whole series was searched' ELSE 'fewer than 40 rows' END AS level_shift_detection_reason
+    FROM prep GROUP BY 1""",
+)
+def _(spark, sf):
+    return cp.level_shift_status(prepared(spark, sf), KEYS)
+
+
 @query("h26_stationarity")
 def _(spark, sf):
     return rounded(dg.stationarity(prepared(spark, sf), KEYS))

@@ -6,13 +6,11 @@ import math
 from collections.abc import Sequence
 from itertools import combinations
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ridegauge.config import StationConfig
 from ridegauge.functions.stats import unbiased_skew
+from ridegauge.operators import fleet_kmeans as fk
 from ridegauge.operators.keyed import exact_quantiles
 from ridegauge.session import cut_lineage
 
@@ -91,72 +89,59 @@ def ari(labels: DataFrame, a: str, b: str) -> DataFrame:
     return rows.select(F.when(top == expected, F.lit(1.0)).otherwise((F.col("both") - expected) / (top - expected)).alias("ari"))
 
 
-def _vector(matrix: DataFrame) -> DataFrame:
-    columns = [c for c in matrix.columns if c != "station_id"]
-    return VectorAssembler(inputCols=columns, outputCol="features").transform(matrix).select("station_id", "features")
-
-
 #: Each seed keeps the fit with the least cost of so many starts.
 STARTS = 20
 
 
-def _fit(data: DataFrame, k: int, seed: int):
-    fits = (KMeans(k=k, seed=seed + 1_000 * i, featuresCol="features", predictionCol="label", maxIter=50).fit(data) for i in range(STARTS))
-    return min(fits, key=lambda model: model.summary.trainingCost)
+def evaluate_k(matrix: DataFrame, config: StationConfig = StationConfig()) -> tuple[list[dict], dict[int, list[list[float]]]]:
+    """Quality and stability per k, and the centres of the best fit; the driver holds centres and counts, never stations.
 
-
-def bootstrap_ari(data: DataFrame, reference: DataFrame, k: int, config: StationConfig) -> float:
-    """Mean agreement of refits on resamples with the reference labels."""
-    scores = []
-    for i in range(config.bootstrap_iterations):
-        seed = config.random_state + k + i
-        model = _fit(data.sample(True, config.bootstrap_fraction, seed), k, seed)
-        both = model.transform(data).select("station_id", "label").join(
-            reference.withColumnRenamed("label", "ref"), "station_id"
-        )
-        scores.append(ari(both, "label", "ref").collect()[0][0])
-    return float(sum(scores) / len(scores)) if scores else float("nan")
-
-
-def evaluate_k(matrix: DataFrame, config: StationConfig = StationConfig()) -> tuple[list[dict], dict[int, object]]:
-    """Quality and stability per k; labels stay distributed, the driver holds one score row per k."""
-    data = cut_lineage(_vector(matrix))
+    All fits (k, seed or resample, start) advance together, see :mod:`ridegauge.operators.fleet_kmeans`. A resample draws
+    ``max(2 k, round(fraction n))`` stations with replacement and has its own starts; stability is the mean agreement of its best fit with the
+    labels of the best seed on all stations.
+    """
+    columns = [c for c in matrix.columns if c != "station_id"]
+    data = cut_lineage(matrix.select("station_id", F.array(*columns).cast("array<double>").alias("features")))
     n = data.count()
     threshold = max(config.min_cluster_size_abs, math.ceil(n * config.min_cluster_size_ratio))
-    judge = ClusteringEvaluator(featuresCol="features", predictionCol="label")
-    rows, models = [], {}
-    for k in sorted(set(config.k_values)):
-        if k < 2 or n <= k:
-            continue
-        runs = []
-        for seed in config.cluster_seeds:
-            model = _fit(data, k, seed)
-            labels = cut_lineage(model.transform(data).select("station_id", "features", "label"))
-            runs.append((judge.evaluate(labels), -model.summary.trainingCost, model, labels))
-        scores = [r[0] for r in runs]
-        agreement = [
-            ari(x[3].select("station_id", F.col("label").alias("l")).join(y[3].select("station_id", F.col("label").alias("r")), "station_id"), "l", "r").collect()[0][0]
-            for x, y in combinations(runs, 2)
-        ]
-        best = max(runs, key=lambda r: (r[0], r[1]))
-        sizes = [r["n"] for r in best[3].groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()]  # k rows
-        mean = sum(scores) / len(scores)
-        models[k] = best[2]
+    wanted = [k for k in sorted(set(config.k_values)) if 2 <= k < n]
+    if not wanted:
+        return [], {}
+    draws = [(k, i) for k in wanted for i in range(config.bootstrap_iterations)]
+    sizes = [max(2 * k, round(n * config.bootstrap_fraction)) for k, _ in draws]
+    points = fk.prepared(data, n, sizes, [config.random_state + 1_000 * k + i for k, i in draws])
+    models = [fk.Model(k, 0, seed + 1_000 * start, group) for k in wanted for group, seed in enumerate(config.cluster_seeds) for start in range(STARTS)]
+    models += [fk.Model(k, 1 + at, config.random_state + k + i + 1_000 * start) for at, (k, i) in enumerate(draws) for start in range(STARTS)]
+    kept = fk.best(fk.fit(points, models), lambda m: (m.weight, m.k, m.group))
+    runs = [kept[0, k, group] for k in wanted for group in range(len(config.cluster_seeds))]
+    quality = fk.sizes_and_silhouettes(points, runs)
+    of_k = {k: [i for i, f in enumerate(runs) if f.model.k == k] for k in wanted}
+    chosen = {k: max(of_k[k], key=lambda i: (-math.inf if math.isnan(quality[i][1]) else quality[i][1], -runs[i].cost)) for k in wanted}
+    seed_pairs = [(k, p) for k in wanted for p in combinations(of_k[k], 2)]
+    redrawn = [(k, (len(runs) + at, chosen[k])) for at, (k, _) in enumerate(draws)]
+    labelled = fk.labels(points, [*runs, *[kept[1 + at, k, 0] for at, (k, _) in enumerate(draws)]])
+    agreement = fk.agreements(labelled, [p for _, p in seed_pairs + redrawn])
+    mean = lambda values: sum(values) / len(values) if values else None
+    rows = []
+    for k in wanted:
+        scores = [quality[i][1] for i in of_k[k] if not math.isnan(quality[i][1])]
+        found = quality[chosen[k]][0]
+        middle = mean(scores)
         rows.append(
             {
                 "candidate_k": k,
-                "silhouette_score": mean,
-                "silhouette_score_std": (sum((s - mean) ** 2 for s in scores) / len(scores)) ** 0.5,
-                "seed_stability_ari": sum(agreement) / len(agreement) if agreement else None,
-                "bootstrap_stability_ari": bootstrap_ari(data, best[3].select("station_id", "label"), k, config),
-                "min_cluster_size": min(sizes),
-                "max_cluster_size": max(sizes),
-                "tiny_cluster_count": sum(s < threshold for s in sizes),
+                "silhouette_score": middle,
+                "silhouette_score_std": mean([(s - middle) ** 2 for s in scores]) ** 0.5 if scores else None,
+                "seed_stability_ari": mean([a for (of, _), a in zip(seed_pairs, agreement, strict=False) if of == k]),
+                "bootstrap_stability_ari": mean([a for (of, _), a in zip(redrawn, agreement[len(seed_pairs) :], strict=True) if of == k]),
+                "min_cluster_size": min(found),
+                "max_cluster_size": max(found),
+                "tiny_cluster_count": sum(s < threshold for s in found),
                 "size_threshold": threshold,
-                "all_clusters_valid": all(s >= threshold for s in sizes),
+                "all_clusters_valid": all(s >= threshold for s in found),
             }
         )
-    return rows, models
+    return rows, {k: runs[chosen[k]].centers.tolist() for k in wanted}
 
 
 def select_k(candidates: DataFrame, preferred_k: int = 6) -> DataFrame:
@@ -254,7 +239,7 @@ def cluster_stations(categorized: DataFrame, config: StationConfig = StationConf
     selection = cut_lineage(select_k(spark.createDataFrame([tuple(s.values()) for s in scores], schema), config.preferred_k))
     chosen = selection.filter("selected").collect()[0]
     stability = chosen["bootstrap_stability_ari"]
-    margins = assignment_margin(matrix, models[chosen["candidate_k"]].clusterCenters(), stability, config)
+    margins = assignment_margin(matrix, models[chosen["candidate_k"]], stability, config)
     labelled = cut_lineage(relabel(eligible.join(margins, "station_id")))
     joined = base.join(labelled.select("station_id", "cluster_label", "cluster_assignment_confidence"), "station_id", "left")
     out = joined.withColumns(

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from itertools import product
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from pyspark.util import inheritable_thread_target
 
 from ridegauge.config import BacktestConfig
 from ridegauge.functions.calendar import is_us_holiday
@@ -294,34 +296,70 @@ TREE_GRID = {
 TREE_COLUMNS = ["station_code", *[c for c in ft.STATION_FEATURES if c != "station_id"]]
 
 
+#: Training rows a task holds; a small panel is few tasks, a large one many.
+TREE_ROWS_A_TASK = 50_000
+
+
+def side_by_side(jobs: Sequence[Callable[[], object]]) -> list:
+    """Results of independent fits whose jobs share the executors: a boosted model is a long row of short jobs, which alone leaves them idle."""
+    if len(jobs) < 2:
+        return [job() for job in jobs]
+    with ThreadPoolExecutor(len(jobs)) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(SparkSession.active())(job)) for job in jobs]]
+
+
+def tree_input(rows: DataFrame) -> DataFrame:
+    """``rows`` written once, in as many partitions as their number asks for."""
+    rows = cut_lineage(rows)
+    wanted = max(1, rows.count() // TREE_ROWS_A_TASK)
+    return cut_lineage(rows.coalesce(wanted)) if wanted < rows.rdd.getNumPartitions() else rows
+
+
 def fit_trees(rows: DataFrame, params: dict, columns: Sequence[str] = TREE_COLUMNS, seed: int = 42) -> PipelineModel:
     """Distributed boosted trees over pooled, encoded training rows."""
     assembler = VectorAssembler(inputCols=list(columns), outputCol="_x", handleInvalid="error")
     gbt = GBTRegressor(
         featuresCol="_x", labelCol="target", predictionCol="_p", maxIter=int(params["n_estimators"]),
         maxDepth=int(params["max_depth"]), stepSize=float(params["learning_rate"]), seed=seed,
-        cacheNodeIds=True, checkpointInterval=10,
+        checkpointInterval=10,
     )
     return Pipeline(stages=[assembler, gbt]).fit(rows)
 
 
-def tune(rows: DataFrame, grid: Sequence[dict], horizon: int, columns: Sequence[str] = TREE_COLUMNS, seed: int = 42):
-    """One time-ordered split, lowest mean absolute error wins; returns the parameters and the tuning table."""
+def tune_families(
+    rows: DataFrame, grids: dict[str, Sequence[dict]], horizon: int, columns: Sequence[str] = TREE_COLUMNS, seed: int = 42
+) -> dict[str, tuple[dict, DataFrame]]:
+    """For each family, on one time-ordered split, the parameters with the lowest mean absolute error and the tuning table.
+
+    All candidates of all families are fitted side by side; equal parameters of two families are fitted once.
+    """
     spark = rows.sparkSession
     split = cut_lineage(ft.time_split(rows, horizon))
-    train, valid = split.filter("role = 'train'"), split.filter("role = 'valid'")
-    if valid.isEmpty():
-        table = [(i, i == 1, None, *map(float, _values(p))) for i, p in enumerate(grid, start=1)]
-    else:
-        scores = []
-        for params in grid:
+    valid = split.filter("role = 'valid'")
+    scores: dict[tuple, float | None] = {}
+    distinct = list({_values(p): p for grid in grids.values() for p in grid}.values())
+    if not valid.isEmpty():
+        train = tree_input(split.filter("role = 'train'"))
+
+        def score(params: dict) -> float:
             predicted = fit_trees(train, params, columns, seed).transform(valid)
-            scores.append(predicted.agg(F.avg(F.abs(F.col("_p") - F.col("target")))).collect()[0][0])
-        best = min(range(len(grid)), key=lambda i: scores[i])
-        table = [(i + 1, i == best, scores[i], *map(float, _values(p))) for i, p in enumerate(grid)]
-    chosen = next(grid[i - 1] for i, selected, *_ in table if selected)
+            return predicted.agg(F.avg(F.abs(F.col("_p") - F.col("target")))).collect()[0][0]
+
+        found = side_by_side([lambda p=p: score(p) for p in distinct])
+        scores = {_values(p): s for p, s in zip(distinct, found, strict=True)}
     schema = "candidate_rank int, selected boolean, validation_mae double, learning_rate double, max_depth double, n_estimators double"
-    return chosen, spark.createDataFrame(table, schema)
+    out = {}
+    for family, grid in grids.items():
+        mine = [scores.get(_values(p)) for p in grid]
+        best = min(range(len(grid)), key=lambda i: mine[i]) if scores else 0
+        table = [(i + 1, i == best, mine[i], *map(float, _values(p))) for i, p in enumerate(grid)]
+        out[family] = grid[best], spark.createDataFrame(table, schema)
+    return out
+
+
+def tune(rows: DataFrame, grid: Sequence[dict], horizon: int, columns: Sequence[str] = TREE_COLUMNS, seed: int = 42):
+    """:func:`tune_families` for one grid."""
+    return tune_families(rows, {"": grid}, horizon, columns, seed)[""]
 
 
 def _values(params: dict) -> tuple:
@@ -405,15 +443,27 @@ def predict_recursive(panel: DataFrame, horizon: int, predict: Predict, mapping:
     return result
 
 
-def station_trees(panel: DataFrame, horizon: int, params: dict, name: str = "gbt") -> DataFrame:
-    """Fit on the whole panel and forecast all stations recursively."""
+def station_tree_families(panel: DataFrame, horizon: int, params: dict[str, dict]) -> DataFrame:
+    """For each family, a fit on the whole panel and recursive forecasts of all stations; the fits run side by side."""
     mapping = cut_lineage(ft.category_map(panel, "station_id"))
     frame = ft.encode(ft.station_features(panel), "station_id", mapping, "station_code")
-    rows = cut_lineage(ft.training_rows(frame, [c for c in TREE_COLUMNS if c != "station_code"]))
-    model = fit_trees(rows, params)
-    return predict_recursive(panel, horizon, tree_predictor(model), mapping).withColumns(
-        {"model_name": F.lit(name), "implementation": F.lit("spark_gbt")}
-    )
+    rows = tree_input(ft.training_rows(frame, [c for c in TREE_COLUMNS if c != "station_code"]))
+
+    def forecast(family: str) -> DataFrame:
+        model = fit_trees(rows, params[family])
+        return predict_recursive(panel, horizon, tree_predictor(model), mapping).withColumns(
+            {"model_name": F.lit(family), "implementation": F.lit("spark_gbt")}
+        )
+
+    out = None
+    for part in side_by_side([lambda f=f: forecast(f) for f in params]):
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def station_trees(panel: DataFrame, horizon: int, params: dict, name: str = "gbt") -> DataFrame:
+    """Fit on the whole panel and forecast all stations recursively."""
+    return station_tree_families(panel, horizon, {name: params})
 
 
 # ---- runners ---------------------------------------------------------------------------------------------------------

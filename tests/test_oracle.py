@@ -1,18 +1,16 @@
-"""Every query with an oracle on the smallest scale; RIDEGAUGE_ALL=1 also runs the slow ones."""
+"""Every query with an oracle on the smallest scale. Queries without one are tested elsewhere: fits in test_registered.py and test_fitted.py, op queries in llm/."""
 
 from __future__ import annotations
 
-import os
-
 import pytest
 from compare import compare, oracle
 
 import __spark_entry__ as entry
+from ridegauge import catalog
 
 SF = "/root/testdata/sf0.001"
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
-SLOW = ("b07", "d03", "d06", "e", "f", "i1", "i2", "j", "l14", "l08", "l09", "m16", "m17", "m19", "n0", "g07", "g08")
-NAMES = [n for n in QUERIES if os.environ.get("RIDEGAUGE_ALL") or not n.startswith(SLOW)]
+NAMES = sorted(catalog.oracle_sql())
 
 
 @pytest.fixture(scope="module")
@@ -26,5 +24,5 @@ def test_every_oracle_has_a_query():
 
 @pytest.mark.parametrize("name", NAMES)
 def test_matches_oracle(spark, con, name):
-    ok, message = compare(spark, con, SF, name, QUERIES[name], ORACLES.get(name))
+    ok, message = compare(spark, con, SF, name, QUERIES[name], ORACLES[name])
     assert ok, message

@@ -7,36 +7,45 @@ import datetime as dt
 import pytest
 
 import __spark_entry__ as entry
-from ridegauge.catalog import models as cm
+from ridegauge.catalog import forecasting as fc, models as cm
 from ridegauge.config import BacktestConfig, SeriesDiagnosisConfig, StationConfig
-from ridegauge.operators import clustering as cl, models as md
+from ridegauge.operators import backtest as bt, models as md
 
 QUERIES = entry.queries()
 SF = "/root/testdata/sf0.001"
 
 
-class Asked(Exception):
-    pass
+def rows_of(spark, name):
+    return QUERIES[name](spark, SF).collect()
 
 
-def asked(monkeypatch, owner, name, query):
-    """The arguments with which ``query`` calls the operator."""
-    found = []
+@pytest.fixture(scope="module")
+def fitted(spark):
+    return rows_of(spark, "m03_fitted_forecasts")
 
-    def stop(*args, **kwargs):
-        found.extend(args)
-        raise Asked
 
-    monkeypatch.setattr(owner, name, stop)
-    return found
+def test_fitted_backtest_holds_every_fold_and_day(spark, fitted):
+    config = BacktestConfig()
+    plain = bt.baseline_backtest(fc.target(spark, SF), ["series_id"], config).filter("model_name = 'naive'").collect()
+    days = {(r["series_id"], r["fold_id"], r["horizon"], r["date"]) for r in plain}
+    assert {h for _, _, h, _ in days} == set(config.horizons)
+    for model in md.FITTED:
+        mine = [(r["series_id"], r["fold_id"], r["horizon"], r["date"]) for r in fitted if r["model_name"].removesuffix("_fallback") == model]
+        assert len(mine) == len(set(mine)) and set(mine) == days
+    assert all(r["prediction"] >= 0 for r in fitted)
 
 
-@pytest.mark.parametrize("name", ["m03_fitted_forecasts", "m10_rank_all_models"])
-def test_fitted_backtests_use_the_whole_configuration(spark, monkeypatch, name):
-    found = asked(monkeypatch, md, "fitted_backtest", name)
-    with pytest.raises(Asked):
-        QUERIES[name](spark, SF)
-    assert found[2] == BacktestConfig()
+def test_ranked_models_follow_from_the_forecasts(spark, fitted):
+    found = {(r["series_id"], r["model_name"], r["horizon"]): r for r in rows_of(spark, "m10_rank_all_models")}
+    folds = {}
+    for r in fitted:
+        if r["actual"] is not None:
+            folds.setdefault((r["series_id"], r["model_name"], r["horizon"]), {}).setdefault(r["fold_id"], []).append(r["prediction"] - r["actual"])
+    for key, errors in folds.items():
+        means = [(sum(map(abs, e)) / len(e), sum(e) / len(e)) for e in errors.values()]
+        assert found[key]["mean_mae"] == pytest.approx(sum(m for m, _ in means) / len(means), abs=1e-4)
+        assert found[key]["mean_bias"] == pytest.approx(sum(b for _, b in means) / len(means), abs=1e-4)
+        assert found[key]["folds"] == len(errors)
 
 
 def test_fitted_folds_against_fits_of_cut_series(spark):
@@ -56,32 +65,43 @@ def test_fitted_folds_against_fits_of_cut_series(spark):
     assert found == pytest.approx(want, rel=1e-6)
 
 
-@pytest.mark.parametrize("name,owner,call", [("j07_j09_cluster_selection", cl, "cluster_stations"), ("j14_cluster_stations", cl, "cluster_stations"), ("a13_slice_lookup", cm, "slice_lookup")])
-def test_clusters_use_the_whole_configuration(spark, monkeypatch, name, owner, call):
-    found = asked(monkeypatch, owner, call, name)
-    with pytest.raises(Asked):
-        QUERIES[name](spark, SF)
-    assert found[-1] == StationConfig()
-
-
-def test_each_cluster_seed_keeps_the_best_start(spark):
-    points = [(str(i), float(x), float(i % 3)) for i, x in enumerate([0] * 12 + [10] * 12 + [20] * 3 + [21] * 3 + [50] * 12)]
-    data = cl._vector(spark.createDataFrame(points, "station_id string, x double, y double")).cache()
-    costs = [cl.KMeans(k=5, seed=11 + 1_000 * i, featuresCol="features", predictionCol="label", maxIter=50).fit(data).summary.trainingCost for i in range(cl.STARTS)]
-    assert cl._fit(data, 5, 11).summary.trainingCost == pytest.approx(min(costs))
-
-
-@pytest.mark.parametrize("name", ["l08_l10_station_trees", "l09_tune"])
-def test_trees_use_the_whole_grid(spark, monkeypatch, name):
-    tuned, made = [], []
-    frame = spark.createDataFrame([(1, 2.0)], "i int, v double")
-    monkeypatch.setattr(md, "tune", lambda rows, grid, horizon: (tuned.append((grid, horizon)), (grid[1], frame))[1])
-    monkeypatch.setattr(md, "station_trees", lambda panel, horizon, params, family: (made.append((horizon, params, family)), frame)[1])
-    QUERIES[name](spark, SF)
-    assert tuned == [(grid, 30) for grid in md.TREE_GRID.values()]
-    assert name == "l09_tune" or made == [(30, grid[1], family) for family, grid in md.TREE_GRID.items()]
-
-
-@pytest.mark.parametrize("name", ["h16_acf_all_lags", "h16_pacf"])
+def test_clusters_of_the_whole_configuration(spark):
+    config = StationConfig()
+    labelled = rows_of(spark, "j14_cluster_stations")
+    selection = rows_of(spark, "j07_j09_cluster_selection")
+    eligible = [r for r in labelled if r["cluster_eligible"]]
+    if len(eligible) < config.min_cluster_eligible:
+        assert not selection and {r["cluster_label"] for r in labelled} <= {"not_clustered_not_eligible", "not_clustered_insufficient_eligible_stations"}
+    else:
+        assert [r["candidate_k"] for r in sorted(selection)] == [k for k in config.k_values if k < len(eligible)]
+        chosen = [r["candidate_k"] for r in selection if r["selected"]]
+        assert len(chosen) == 1 and len({r["cluster_label"] for r in eligible}) <= chosen[0]
+        assert all(-1 <= r[c] <= 1 for r in selection for c in ("silhouette_score", "seed_stability_ari", "bootstrap_stability_ari"))
+    assert len({r["station_id"] for r in labelled}) == len(labelled)
+    assert {r["station_id"] for r in rows_of(spark, "a13_slice_lookup")} == {r["station_id"] for r in labelled}
+
+
+TREE_QUERIES = {"l09_tune", "l08_l10_station_trees"}
+
+
+def test_trees_of_the_whole_grid(spark):
+    """The grid's values with few trees each: candidates, choice and forecasts; the registered queries differ in the number of trees only."""
+    few = {family: [{**p, "n_estimators": 3 + i} for i, p in enumerate(grid)] for family, grid in md.TREE_GRID.items()}
+    panel = fc.station_panel(spark, SF)
+    tuned = md.tune_families(cm.tree_rows(panel), few, 30)
+    for family, (params, table) in tuned.items():
+        rows = sorted(table.collect())
+        assert [(r["learning_rate"], r["max_depth"], r["n_estimators"]) for r in rows] == [(p["learning_rate"], p["max_depth"], p["n_estimators"]) for p in few[family]]
+        assert [r["selected"] for r in rows].count(True) == 1 and params == few[family][[r["selected"] for r in rows].index(True)]
+        scored = [r for r in rows if r["validation_mae"] is not None]
+        assert not scored or min(scored, key=lambda r: r["validation_mae"])["selected"]
+    out = md.station_tree_families(panel, 30, {family: params for family, (params, _) in tuned.items()}).collect()
+    stations = {r["station_id"] for r in panel.select("station_id").distinct().collect()}
+    keys = {(r["model_name"], r["station_id"], r["horizon_step"]) for r in out}
+    assert keys == {(f, s, h) for f in few for s in stations for h in range(1, 31)} and len(out) == len(keys)
+    assert all(r["prediction"] >= 0 for r in out) and TREE_QUERIES <= set(QUERIES)
+
+
+@pytest.mark.parametrize("name", ["h16_acf", "h16_acf_all_lags", "h16_pacf"])
 def test_autocorrelation_reaches_the_last_lag(spark, name):
     assert QUERIES[name](spark, SF).agg({"lag": "max"}).first()[0] == SeriesDiagnosisConfig().max_acf_lag
