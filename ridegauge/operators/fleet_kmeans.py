@@ -230,7 +230,7 @@ def sizes_and_silhouettes(points: DataFrame, fits: Sequence[Fit]) -> list[tuple[
     for i, f in enumerate(fits):
         n = total[bank.first[i] : bank.first[i] + f.model.k, 0]
         used = n[n > 0]
-        out.append(([int(v) for v in used], sums[i] / n.sum() if len(used) > 1 else float("nan")))
+        out.append(([int(v) for v in used], float(sums[i] / n.sum()) if len(used) > 1 else float("nan")))
     return out
 
 

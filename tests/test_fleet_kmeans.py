@@ -98,6 +98,7 @@ def test_selection_finds_the_planted_clusters(spark):
     best = max(rows, key=lambda r: r["silhouette_score"])
     assert best["candidate_k"] == 4 and best["bootstrap_stability_ari"] > 0.95 and best["seed_stability_ari"] == pytest.approx(1.0)
     assert (best["min_cluster_size"], best["max_cluster_size"], best["all_clusters_valid"]) == (40, 40, True)
+    assert all(type(v) in (int, float, bool) for r in rows for v in r.values())
     assert cl.evaluate_k(matrix.limit(2), config) == ([], {})
 
 
