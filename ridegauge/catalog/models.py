@@ -223,10 +223,15 @@ def _(spark, sf):
     return rounded(iv.fit_diagnostics(md.differenced_regression(fc.target(spark, sf), KEYS, 30)))
 
 
+# The test windows of all folds and horizons, without forecasts.
+WINDOWS = f"""{fc.BACK.split(", pr AS MATERIALIZED")[0].rsplit(",\n pr AS", 1)[0]},
+ one AS MATERIALIZED (SELECT t.series_id, t.fold_id, t.horizon, t.step AS horizon_step, t.date, o.date AS train_end, t.actual FROM tst t JOIN ix o ON o.series_id = t.series_id AND o.i = t.cut - 1)"""
+
+
 @query(
     "m03_fitted_backtest",
-    f"""WITH {fc.BACK} SELECT series_id, fold_id, horizon, horizon_step, date, train_end, round(actual, 6) AS actual, m.model, true AS non_negative
-    FROM bk CROSS JOIN (VALUES ('ets'), ('fourier_dynamic_regression'), ('seasonal_difference_regression')) m(model) WHERE model_name = 'naive'""",
+    f"""WITH {WINDOWS} SELECT series_id, fold_id, horizon, horizon_step, date, train_end, round(actual, 6) AS actual, m.model, true AS non_negative
+    FROM one CROSS JOIN (VALUES ('ets'), ('fourier_dynamic_regression'), ('seasonal_difference_regression')) m(model)""",
 )
 def _(spark, sf):
     rows = md.fitted_backtest(fc.target(spark, sf), KEYS, fc.CONFIG)
@@ -236,9 +241,8 @@ def _(spark, sf):
 
 @query(
     "m10_compare_all_models",
-    f"""WITH {fc.BACK}, al AS (SELECT series_id, fold_id, horizon, actual, model_name FROM bk UNION ALL SELECT series_id, fold_id, horizon, actual, m.model
-      FROM bk CROSS JOIN (VALUES ('ets'), ('fourier_dynamic_regression'), ('seasonal_difference_regression')) m(model) WHERE model_name = 'naive'),
-    f AS (SELECT series_id, model_name, horizon, fold_id, count(actual) AS n FROM al GROUP BY 1, 2, 3, 4)
+    f"""WITH {WINDOWS}, f AS (SELECT series_id, m.model AS model_name, horizon, fold_id, count(actual) AS n FROM one
+      CROSS JOIN (VALUES ('naive'), ('seasonal_naive_7'), ('seasonal_naive_30'), ('ets'), ('fourier_dynamic_regression'), ('seasonal_difference_regression')) m(model) GROUP BY 1, 2, 3, 4)
     SELECT series_id, model_name, horizon, count(DISTINCT fold_id) AS folds, round(avg(n), 6) AS mean_rows FROM f GROUP BY 1, 2, 3""",
 )
 def _(spark, sf):
