@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Row, functions as F
 
 from ridegauge import schemas
 from ridegauge.functions import cleaning as fx
@@ -84,7 +84,11 @@ def station_density(station_zip: DataFrame, census: DataFrame, land: DataFrame)
 
 
 LEAF_POINTS = 32
-SALTS = 16
+#: Wanted points a cell of the flat grid, and the most that a block of 2 x 2 cells may hold.
+CELL_POINTS = 16
+BLOCK_POINTS = 2_048
+#: Frames of cells or points that may be broadcast have so many rows at most.
+BROADCAST_ROWS = 65_536
 
 
 def nearest_join(
@@ -97,11 +101,9 @@ def nearest_join(
 ) -> DataFrame:
     """Attach to every left row the value of the closest right point (ties: smallest value), exactly.
 
-    The right side becomes a grid hierarchy, 4 x 4 children per cell with tight bounding boxes. Each left point keeps a
-    short list of cells that may still hold its nearest point and descends level by level: a cell survives only when its
-    smallest possible distance does not exceed the best guaranteed distance. Every join is on a cell id with at most 16
-    children, so neither side is multiplied by the other; hot cells are salted. Rows that repeat a key get their own
-    answers where their places differ.
+    A flat grid comes first: each left row meets the one block of 2 x 2 cells around it, and is settled if the closest point there is nearer
+    than the block's border. Rows that this leaves open (sparse or crowded surroundings, places far off) descend a grid hierarchy
+    (:func:`_descend`). Neither side is multiplied by the other. Rows that repeat a key get their own answers where their places differ.
     """
     points = (
         right.select(
@@ -119,6 +121,59 @@ def nearest_join(
     ).collect()[0]
     if box["n"] == 0:
         return left.withColumn(right_value, F.lit(None).cast(right.schema[right_value].dataType))
+    met = cut_lineage(_nearest_in_block(left, points, box, left_xy))
+    settled = met.filter("_settled").select(*left.columns, F.col("_near.rv").alias(right_value))
+    rest = met.filter("NOT _settled").select(*left.columns)
+    if rest.isEmpty():
+        return settled
+    return settled.unionByName(_descend(rest, points, box, left_key, right_value, left_xy))
+
+
+def _nearest_in_block(left: DataFrame, points: DataFrame, box: Row, left_xy: tuple[str, str]) -> DataFrame:
+    """``left`` with ``_near`` (d, rv), the closest point of the row's block, and ``_settled``, whether no other point can be as close."""
+    wide, high = box["x1"] - box["x0"], box["y1"] - box["y0"]
+    side = max(math.sqrt(wide * high * CELL_POINTS / box["n"]), max(wide, high) * CELL_POINTS / box["n"]) or 1.0
+    cell = lambda c, low: F.floor((F.col(c) - low) / side)
+    placed = points.withColumns({"gx": cell("rx", box["x0"]), "gy": cell("ry", box["y0"])})
+    last = {"x": max(math.floor(wide / side) - 1, 0), "y": max(math.floor(high / side) - 1, 0)}  # a block's first cell at most
+
+    def blocks_of(rows: DataFrame) -> DataFrame:
+        """A cell lies in up to four blocks, named by their first cells."""
+        own = lambda g, to: F.array_distinct(F.transform(F.array(F.lit(-1), F.lit(0)), lambda d: F.greatest(F.least(F.col(g) + d, F.lit(to)), F.lit(0))))
+        return rows.withColumn("bx", F.explode(own("gx", last["x"]))).withColumn("by", F.explode(own("gy", last["y"])))
+
+    sizes = blocks_of(placed.groupBy("gx", "gy").agg(F.count(F.lit(1)).alias("n")))
+    light = sizes.groupBy("bx", "by").agg(F.sum("n").alias("n")).filter(F.col("n") <= BLOCK_POINTS).drop("n")
+    blocks = (
+        blocks_of(placed).join(light.hint("merge"), ["bx", "by"]).groupBy("bx", "by").agg(F.collect_list(F.struct("rx", "ry", "rv")).alias("_points"))
+    )
+    x, y = F.col(left_xy[0]).cast("double"), F.col(left_xy[1]).cast("double")
+    first = lambda c, low, to: F.greatest(F.least(F.floor((c - low) / side - 0.5), F.lit(to)), F.lit(0))
+    rows = left.withColumns({"_bx": first(x, box["x0"], last["x"]), "_by": first(y, box["y0"], last["y"])})
+    rows = rows.join(blocks.hint("merge"), (F.col("_bx") == F.col("bx")) & (F.col("_by") == F.col("by")), "left")
+
+    def clear(c: Column, low: float, at: str, to: int) -> Column:
+        """Distance to the block's sides behind which there are further cells."""
+        before = F.when(F.col(at) > 0, c - (F.col(at) * side + low))
+        behind = F.when(F.col(at) < to, (F.col(at) + 2) * side + low - c)
+        return F.least(F.coalesce(before, F.lit(math.inf)), F.coalesce(behind, F.lit(math.inf)))
+
+    near = F.array_min(
+        F.transform("_points", lambda p: F.struct(F.sqrt((x - p["rx"]) * (x - p["rx"]) + (y - p["ry"]) * (y - p["ry"])).alias("d"), p["rv"].alias("rv")))
+    )
+    border = F.least(clear(x, box["x0"], "_bx", last["x"]), clear(y, box["y0"], "_by", last["y"])) - side * 1e-6  # cells are told apart by rounded numbers
+    rows = rows.withColumn("_near", near).withColumn("_settled", F.coalesce(F.col("_near.d") < border, F.lit(False)))
+    return rows.select(*left.columns, "_near", "_settled")
+
+
+def _descend(left: DataFrame, points: DataFrame, box: Row, left_key: str, right_value: str, left_xy: tuple[str, str]) -> DataFrame:
+    """The join by branch and bound.
+
+    The right side becomes a grid hierarchy, 4 x 4 children per cell with tight bounding boxes. Each left point keeps a
+    short list of cells that may still hold its nearest point and descends level by level: a cell survives only when its
+    smallest possible distance does not exceed the best guaranteed distance. Every join is on a cell id with at most 16
+    children; larger levels are merged, never broadcast, and adaptive execution splits hot cells.
+    """
     span = max(box["x1"] - box["x0"], box["y1"] - box["y0"]) or 1.0
 
     def leaf(depth: int) -> DataFrame:
@@ -143,21 +198,18 @@ def nearest_join(
         )
 
     def on_cell(frontier: DataFrame, side: DataFrame, bounded: bool) -> DataFrame:
-        if bounded:
-            return frontier.join(F.broadcast(side), ["px", "py"])
-        salted = side.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        return frontier.withColumn("salt", F.pmod(F.hash("k"), F.lit(SALTS))).join(salted, ["px", "py", "salt"])
+        return frontier.join(F.broadcast(side) if bounded else side.hint("merge"), ["px", "py"])
 
     frontier = left.select(
         F.col(left_key).alias("k"), F.col(left_xy[0]).cast("double").alias("x"),
         F.col(left_xy[1]).cast("double").alias("y"), F.lit(0).cast("long").alias("px"), F.lit(0).cast("long").alias("py"),
-    ).filter("x IS NOT NULL AND y IS NOT NULL")
+    ).filter("x IS NOT NULL AND y IS NOT NULL").repartition("k")  # before the rows grow by the first 16 children
 
     for level in range(1, depth + 1):
         side = cells(level).select(
             F.shiftright("cx", 2).alias("px"), F.shiftright("cy", 2).alias("py"), "cx", "cy", "bx0", "bx1", "by0", "by1"
         )
-        met = on_cell(frontier, side, bounded=16**level <= 65_536)
+        met = on_cell(frontier, side, bounded=16**level <= BROADCAST_ROWS)
         gap = lambda c, lo, hi: F.greatest(F.col(lo) - F.col(c), F.col(c) - F.col(hi), F.lit(0.0))
         reach = lambda c, lo, hi: F.greatest(F.abs(F.col(c) - F.col(lo)), F.abs(F.col(hi) - F.col(c)))
         norm = lambda a, b: F.sqrt(a * a + b * b)
@@ -175,7 +227,7 @@ def nearest_join(
         ).select("k", "x", "y", F.col("c.cx").alias("px"), F.col("c.cy").alias("py"))
 
     ends = tree.select(F.col("cx").alias("px"), F.col("cy").alias("py"), "rx", "ry", "rv")
-    last = on_cell(frontier, ends, bounded=box["n"] <= 65_536)
+    last = on_cell(frontier, ends, bounded=box["n"] <= BROADCAST_ROWS)
     dx, dy = F.col("x") - F.col("rx"), F.col("y") - F.col("ry")
     found = last.groupBy(F.col("k").alias("_k"), F.col("x").alias("_x"), F.col("y").alias("_y")).agg(
         F.min_by("rv", F.struct(F.sqrt(dx * dx + dy * dy), "rv")).alias(right_value)

@@ -83,3 +83,22 @@ def test_nearest_join_with_repeated_keys(spark):
     right = spark.createDataFrame([("a", 0.1, 0.1), ("b", 8.0, 8.0)], "zip string, latitude double, longitude double")
     rows = {(r["k"], r["latitude"]): r["zip"] for r in geo.nearest_join(left, right, "k", "zip").collect()}
     assert rows == {(1, 0.0): "a", (1, 9.0): "b", (2, None): None}
+
+
+def test_nearest_join_broadcasts_no_large_side(spark, monkeypatch):
+    """Left points of a crowd, of a hole and far off, against a brute-force search; many right points stay off the driver."""
+    rng = np.random.default_rng(8)
+    right = np.vstack([rng.uniform(0, 100, (70_000, 2)), rng.normal(50, 1e-3, (3_000, 2))])
+    right = right[(np.abs(right - 20) > 4).any(axis=1)]
+    left = np.vstack([rng.uniform(0, 100, (60, 2)), rng.normal(50, 2e-3, (20, 2)), rng.uniform(17, 23, (20, 2)), rng.uniform(-900, 900, (20, 2))])
+    make = lambda key, rows: spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(rows)], f"{key} long, latitude double, longitude double")
+    found = geo.nearest_join(make("id", left), make("zip_code", right), "id", "zip_code")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "salt" not in plan
+    got = {r.id: r.zip_code for r in found.collect()}
+    d = ((left[:, None, :] - right[None, :, :]) ** 2).sum(axis=2)
+    assert len(got) == len(left) and all(d[i, z] == pytest.approx(d[i].min(), abs=1e-12) for i, z in got.items())
+    monkeypatch.setattr(geo, "BROADCAST_ROWS", 0)
+    merged = geo.nearest_join(make("id", left), make("zip_code", right), "id", "zip_code")
+    assert "BroadcastHashJoin [px" not in merged._jdf.queryExecution().executedPlan().toString()
+    assert {r.id: r.zip_code for r in merged.collect()} == got
