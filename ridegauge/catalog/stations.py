@@ -174,13 +174,7 @@ def _(spark, sf):
     f"WITH {SPARSE} SELECT station_id, day_state, count(*) AS days, min(date) AS first_day, max(date) AS last_day, sum(date_diff('day', DATE '1990-01-01', date)) AS day_sum FROM panel GROUP BY 1, 2",
 )
 def _(spark, sf):
-    states = pn.day_state(pn.panel_grid(daily(spark, sf, SPARSE_DAILY)))
-    return states.groupBy("station_id", "day_state").agg(
-        F.count(F.lit(1)).alias("days"),
-        F.min("date").alias("first_day"),
-        F.max("date").alias("last_day"),
-        F.sum(F.datediff("date", F.lit("1990-01-01").cast("date"))).alias("day_sum"),
-    )
+    return pn.day_state_totals(daily(spark, sf, SPARSE_DAILY))
 
 
 @query("i05_run_length", f"WITH {DENSE} SELECT station_id, date, missing_run FROM panel")
@@ -214,7 +208,7 @@ _INV_COLUMNS = [
 for _name, _body, _sql in (("i07_inventory", DENSE, DENSE_DAILY), ("i10_inventory_sparse", SPARSE, SPARSE_DAILY)):
 
     def _make(binding):
-        return lambda spark, sf: rounded(pn.inventory(panel(spark, sf, binding)).select(*_INV_COLUMNS))
+        return lambda spark, sf: rounded(pn.station_inventory(daily(spark, sf, binding)).select(*_INV_COLUMNS))
 
     query(_name, f"WITH {_body}, {INVENTORY_BODY} SELECT {sql_round(_INV_COLUMNS, _INV_ROUND)} FROM inv")(_make(_sql))
 
@@ -231,7 +225,7 @@ def _(spark, sf):
 
 @query("i09_median_gap", f"WITH {DENSE}, {INVENTORY_BODY} SELECT station_id, round(median_inter_arrival_active_days, 6) AS median_gap FROM inv")
 def _(spark, sf):
-    return rounded(pn.inventory(panel(spark, sf)).select("station_id", F.col("median_inter_arrival_active_days").alias("median_gap")))
+    return rounded(pn.station_inventory(daily(spark, sf)).select("station_id", F.col("median_inter_arrival_active_days").alias("median_gap")))
 
 
 @query(
@@ -402,7 +396,7 @@ def _(spark, sf):
 for _by, _slot, _range in (("weekday", "isodow(date) - 1", "range(0, 7)"), ("month", "month(date)", "range(1, 13)")):
 
     def _make(by):
-        return lambda spark, sf: rounded(cat.station_profiles(panel(spark, sf, SPARSE_DAILY), by))
+        return lambda spark, sf: rounded(cat.station_profiles(pn.observed_days(daily(spark, sf, SPARSE_DAILY)), by))
 
     query(
         f"j17_station_profiles_{_by}",
