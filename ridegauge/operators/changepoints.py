@@ -1,9 +1,10 @@
 """Change points of a series' level: optimal partitioning with a penalty, pruned.
 
 The cost of a segment is its sum of squares around its mean, read from running sums at both ends, so the search is a fold over positions whose
-state is a small set of candidates for the last change. A candidate whose cost has reached that of the best partition can't win any more once the
-present position may itself be a change, and leaves; each candidate carries its path, so no table of predecessors is kept. Long
-series are folded in blocks: the state of one block is the start of the next, so no row ever holds more than ``BLOCK`` positions.
+state is a set of candidates for the last change (numpy arrays, one step of vector arithmetic a position). A candidate whose cost has reached
+that of the best partition can't win any more once the present position may itself be a change, and leaves; each candidate carries its path, so
+no table of predecessors is kept. Long series are folded in blocks: the state of one block is the start of the next, so a group never holds
+more than ``BLOCK`` positions and the candidates.
 """
 
 from __future__ import annotations
@@ -20,45 +21,65 @@ MIN_POINTS = 40
 MIN_SEGMENT = 2
 METHOD = "penalised_partitioning_least_squares"
 _NEVER = 2**31 - 1
-_STATE = "array<struct<pos: int, s: double, q: double, f: double, path: array<int>, until: int>>"
 
 
 def signal(value: str) -> Column:
     return F.log1p(F.greatest(F.coalesce(F.col(value).cast("double"), F.lit(0.0)), F.lit(0.0)))
 
 
-def _step(penalty: Column, least: int):
-    """One position of the fold. ``until`` is the last position at which a candidate may still win."""
-
-    def step(state: Column, at: Column) -> Column:
-        alive = F.filter(state, lambda c: c["until"] >= at["pos"])
-        scored = F.transform(
-            alive,
-            lambda c: F.struct(
-                (c["f"] + at["q"] - c["q"] - (at["s"] - c["s"]) * (at["s"] - c["s"]) / (at["pos"] - c["pos"])).alias("v"),
-                c["pos"].alias("pos"), c["s"].alias("s"), c["q"].alias("q"), c["f"].alias("f"), c["path"].alias("path"), c["until"].alias("until"),
-            ),
-        )
-        fit = F.filter(scored, lambda c: c["pos"] <= at["pos"] - least)
-        best = F.array_min(fit)
-        cost = best["v"] + penalty
-        kept = F.transform(
-            scored,
-            lambda c: F.struct(
-                c["pos"].alias("pos"), c["s"].alias("s"), c["q"].alias("q"), c["f"].alias("f"), c["path"].alias("path"),
-                F.when(c["v"] >= cost, F.least(c["until"], at["pos"] + least - 1)).otherwise(c["until"]).alias("until"),
-            ),
-        )
-        own = F.array(
-            F.struct(
-                at["pos"].alias("pos"), at["s"].alias("s"), at["q"].alias("q"), cost.alias("f"),
-                F.when(best["pos"] > 0, F.concat(best["path"], F.array(best["pos"]))).otherwise(best["path"]).alias("path"),
-                F.lit(_NEVER).alias("until"),
-            )
-        )
-        return F.when(F.size(fit) > 0, F.concat(kept, own)).otherwise(kept).cast(_STATE)
-
-    return step
+def _folder(least: int, names: Sequence[str]):
+    """The fold over one block of one series, for ``applyInArrow`` on (rows, state); nested, so that it travels by value."""
+    import numpy as np
+    import pyarrow as pa
+
+    never = _NEVER
+
+    def fold(positions, sums, squares, penalty, state):
+        pos, s, q, f, until, paths = state
+        for t, st, qt in zip(positions, sums, squares):
+            alive = until >= t
+            if not alive.all():
+                pos, s, q, f, until = pos[alive], s[alive], q[alive], f[alive], until[alive]
+                paths = [p for p, a in zip(paths, alive) if a]
+            d = st - s
+            v = f + qt - q - d * d / (t - pos)
+            fit = int(np.searchsorted(pos, t - least, "right"))  # candidates stand in order
+            if not fit:
+                continue
+            best = int(v[:fit].argmin())
+            cost = v[best] + penalty
+            until = np.where(v >= cost, np.minimum(until, t + least - 1), until)  # the last position at which a candidate may still win
+            path = (paths[best], int(pos[best])) if pos[best] > 0 else paths[best]
+            pos, s, q, f = np.append(pos, t), np.append(s, st), np.append(q, qt), np.append(f, cost)
+            until, paths = np.append(until, never), [*paths, path]
+        return pos, s, q, f, until, paths
+
+    def listed(path):
+        out = []
+        while isinstance(path, tuple):
+            path, at = path
+            out.append(at)
+        return [*path, *reversed(out)]
+
+    def run(key, rows, state):
+        if not rows.num_rows:  # the series has ended
+            return state.select(list(names))
+        rows = rows.sort_by("pos")
+        column = lambda table, name: table.column(name).to_numpy()
+        penalty = rows.column("_penalty")[0].as_py()
+        if state.num_rows:
+            state = state.sort_by("pos")
+            begin = *(column(state, n) for n in ("pos", "s", "q", "f", "until")), state.column("path").to_pylist()
+        else:
+            begin = np.array([0]), np.array([0.0]), np.array([0.0]), np.array([-penalty]), np.array([never]), [[]]
+        pos, s, q, f, until, paths = fold(column(rows, "pos"), column(rows, "s"), column(rows, "q"), penalty, begin)
+        made = {"pos": pa.array(pos, pa.int32()), "s": pa.array(s), "q": pa.array(q), "f": pa.array(f), "until": pa.array(until, pa.int32())}
+        made["path"] = pa.array([listed(p) for p in paths], pa.list_(pa.int32()))
+        for name in names[: -len(made)]:
+            made[name] = pa.array([rows.column(name)[0].as_py()] * len(pos), rows.schema.field(name).type)
+        return pa.table({name: made[name] for name in names})
+
+    return run
 
 
 def change_points(prepared: DataFrame, keys: Sequence[str], value: str = "value_filled", least: int = MIN_SEGMENT, block: int | None = None) -> DataFrame:
@@ -77,26 +98,18 @@ def change_points(prepared: DataFrame, keys: Sequence[str], value: str = "value_
         F.row_number().over(ordered).alias("pos"), F.sum("_d").over(ordered).alias("s"), F.sum(F.col("_d") * F.col("_d")).over(ordered).alias("q"),
     )
     rows = cut_lineage(rows)
-    blocks = rows.groupBy(*keys, F.floor((F.col("pos") - 1) / block).cast("int").alias("_block")).agg(
-        F.array_sort(F.collect_list(F.struct("pos", "s", "q"))).alias("_rows"), F.first("_penalty").alias("_penalty")
-    )
     last = rows.agg(F.max("pos")).first()[0]
     if last is None:
         return rows.select(*keys, F.lit(0).alias("position"), "timestamp", F.lit(0.0).alias("shift"), F.lit("").alias("label"))
-    blocks = cut_lineage(blocks) if last > block else blocks
-    empty = F.array().cast("array<int>")
-    begin = F.array(F.struct(F.lit(0).alias("pos"), F.lit(0.0).alias("s"), F.lit(0.0).alias("q"), (-F.col("_penalty")).alias("f"), empty.alias("path"), F.lit(_NEVER).alias("until"))).cast(_STATE)
-    state = None
+    points = rows.select(*keys, "_penalty", "pos", "s", "q")
+    state = points.limit(0).select(
+        *keys, F.lit(0).alias("pos"), "s", "q", F.lit(0.0).alias("f"), F.lit(0).alias("until"), F.array().cast("array<int>").alias("path")
+    )
+    folder = _folder(least, state.columns)
     for b in range((last - 1) // block + 1):
-        part = blocks.filter(F.col("_block") == b)
-        same = [part[k].eqNullSafe(state[f"_{k}"]) for k in keys] if state is not None else []
-        joined = part.withColumn("_state", begin) if state is None else part.join(state.drop("_penalty"), same)
-        folded = joined.select(*keys, "_penalty", F.aggregate("_rows", F.col("_state"), _step(F.col("_penalty"), least)).alias("_state"))
-        if state is not None:  # series that have ended keep theirs
-            ended = state.join(part.select(*[F.col(k).alias(f"_of_{k}") for k in keys]), [state[f"_{k}"].eqNullSafe(F.col(f"_of_{k}")) for k in keys], "left_anti")
-            folded = folded.unionByName(ended.select(*[F.col(f"_{k}").alias(k) for k in keys], "_penalty", "_state"))
-        state = cut_lineage(folded).select(*[F.col(k).alias(f"_{k}") for k in keys], "_penalty", "_state")
-    final = state.select(*[F.col(f"_{k}").alias(f"_{k}") for k in keys], F.element_at("_state", -1)["path"].alias("_path"))
+        part = points.filter(F.floor((F.col("pos") - 1) / block) == b)
+        state = cut_lineage(part.groupBy(*keys).cogroup(state.groupBy(*keys)).applyInArrow(folder, state.schema))
+    final = state.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.max_by("path", "pos").alias("_path"))
     # Segment means from the rows: a row belongs to the segment behind the last change before it.
     joined = rows.join(final, [rows[k].eqNullSafe(final[f"_{k}"]) for k in keys])
     segment = F.size(F.filter("_path", lambda p: p < F.col("pos")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import math
 import random
+import time
 
 import pytest
 
@@ -87,3 +88,14 @@ def test_query_against_all_partitions(spark):
     # Plain search is quadratic: the shortest series and the front of none.
     for k in sorted(values, key=lambda k: len(values[k]))[:2]:
         assert sorted(got[k]) == slow([v for _, v in sorted(values[k])]), k
+
+
+def test_poorly_pruned_series_in_time(spark):
+    """Level noise prunes few candidates; the work of a position must stay in proportion to them (minutes before)."""
+    rng = random.Random(9)
+    values = {f"s{i}": [1000 * rng.uniform(0.95, 1.05) for _ in range(2_400)] for i in range(3)}
+    df = frame(spark, values).cache()
+    df.count()
+    began = time.monotonic()
+    assert cp.change_points(df, ["series_id"]).count() == 0
+    assert time.monotonic() - began < 60
