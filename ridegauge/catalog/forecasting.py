@@ -8,6 +8,7 @@ from ridegauge.catalog.base import query, rounded
 from ridegauge.config import BacktestConfig, StationForecastConfig, season_length
 from ridegauge.functions.stats import gaussian_bounds, order_bounds, winkler
 from ridegauge.operators import backtest as bt, features as ft, intervals as iv
+from ridegauge.operators.keyed import spread_days
 from ridegauge.plans.bindings import DENSE_DAILY, SEGMENT_DAILY, bind, table
 
 KEYS = ["series_id"]
@@ -163,7 +164,7 @@ SP = f"""dd AS ({DENSE_DAILY}), sg AS (SELECT station_id, CAST(unnest(generate_s
 
 
 def station_panel(spark, sf):
-    full = ft.fill_dates(bind(spark, sf, DENSE_DAILY), ["station_id"], ["target"])
+    full = ft.fill_dates(spread_days(bind(spark, sf, DENSE_DAILY), "station_id"), ["station_id"], ["target"])
     return full.withColumn("in_service", F.col("target").isNotNull())
 
 

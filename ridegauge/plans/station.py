@@ -17,8 +17,9 @@ SLICE_COLUMNS = [
 
 def diagnose_stations(daily: DataFrame, config: StationConfig = StationConfig()) -> dict[str, DataFrame | None]:
     """Panel, inventory, labelled and clustered summary, and the tables derived from them."""
+    daily = cut_lineage(daily)
     panel = pn.analysis_panel(daily, config)
-    inventory = pn.inventory(panel, config)
+    inventory = pn.station_inventory(daily, config)
     categorized = cut_lineage(cat.categorize(pn.station_summary(daily, config, panel), config))
     clustered, profile, selection = cl.cluster_stations(categorized, config)
     return {

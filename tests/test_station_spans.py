@@ -80,3 +80,14 @@ def test_no_row_a_day(spark, name):
 
     plan = entry.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "sequence(" not in plan
+
+
+@pytest.mark.parametrize("make", [lambda d: pn.panel_grid(d), lambda d: pn.station_days(d), lambda d: pn.station_facts(pn.analysis_panel(d), d)])
+def test_tasks_grow_with_the_days(daily, monkeypatch, make):
+    """Twice the rows make more tasks, not larger ones: the number follows the days, not the session's setting."""
+    from ridegauge.operators import keyed
+
+    monkeypatch.setattr(keyed.spread, "__defaults__", (1_000,))
+    plan = make(daily)._jdf.queryExecution().executedPlan().toString()
+    wanted = {int(n) for n in __import__("re").findall(r"hashpartitioning\(station_id#\d+, (\d+)\), REPARTITION_BY_NUM", plan)}
+    assert wanted and min(wanted) >= daily.count() // 1_000 and max(wanted) > 8
