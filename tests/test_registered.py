@@ -105,3 +105,9 @@ def test_trees_of_the_whole_grid(spark):
 @pytest.mark.parametrize("name", ["h16_acf", "h16_acf_all_lags", "h16_pacf"])
 def test_autocorrelation_reaches_the_last_lag(spark, name):
     assert QUERIES[name](spark, SF).agg({"lag": "max"}).first()[0] == SeriesDiagnosisConfig().max_acf_lag
+
+
+def test_trip_detail_reads_timestamps_once_a_trip(spark):
+    """Repeated station ids multiply trips, so nothing but columns is left to do above the lookups."""
+    plan = QUERIES["f05_trip_detail"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "date_format" in plan and "date_format" not in plan.split("Join", 1)[0]
