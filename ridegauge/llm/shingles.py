@@ -5,13 +5,19 @@ their sets' exact Jaccard similarity is 0.8 or more; connected components of lin
 
 1. Texts with equal words are one node. A node has 128 min-hashes of its set in 32 bands of 4; nodes that share a band are a bucket. A pair
    with similarity s shares a band with probability 1 - (1 - s^4)^32: all but 5 in 10^8 at 0.8, more above.
-2. Every pair of a bucket is settled: either both nodes are in one component already, or their texts are compared. Bands are taken in
+2. Method 8 comes first: SimHash fingerprints of the sets are linked through the vantage-point tree of :mod:`ridegauge.llm.simhash`, each node meets
+   the least node of its component, and exact similarity confirms or drops that pair. Its radius reaches the closest copies only (at 0.8 two
+   fingerprints are some 10 bits apart), so the bands below settle what it leaves.
+3. Crowded buckets (``CROWD`` nodes) are thinned: shingles that only one of the crowded nodes has bound what a node may have in common with another, and
+   one that can't come to 0.8 leaves the bucket. The nodes that stay carry ``PARITY`` bits, whose differences are a lower bound of the sets' differing
+   shingles. Both bounds are exact and drop no link.
+4. Every pair of a bucket is settled: either both nodes are in one component already, or their texts are compared. Bands are taken in
    steps (``STEPS``): the first few unite most of a large group, so that in later bands its buckets hold one component, which a count
    without texts tells. Within a step, rounds go by pivots: ``PIVOTS`` nodes of each bucket meet the bucket's other components, links are
    merged, pivots leave the bucket. Pivots are the nodes of least hash, so the buckets of one group share them. A round takes four times
    the pivots of the last, and what is left when it is no more than twice a round's work is compared in one. Only nodes that share a band
    take part, with the bands that they share.
-3. Set sizes whose ratio rules 0.8 out are never compared, nor are pairs of which fewer than ``LEAST_EQUAL`` of the 128 min-hashes agree in their
+5. Set sizes whose ratio rules 0.8 out are never compared, nor are pairs of which fewer than ``LEAST_EQUAL`` of the 128 min-hashes agree in their
    lowest ``PLANES`` bits: at 0.8 that happens with probability 6e-8. Rows of a band carry these bits (48 bytes), so the join on the
    band itself drops such pairs, and loose groups (texts with a passage in common, say) make no rows. Only texts of the pairs left are
    compared. Texts of a popular pivot are replicated for every ``PAIRS_A_TASK`` of its pairs.
@@ -33,12 +39,17 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ridegauge.llm.common import add_columns, fresh, materialize, raw, ready
 from ridegauge.llm.links import connected
+from ridegauge.llm.simhash import linked_points, majority, signed
 
 SHINGLE = 5
 #: The least similarity of a link, as a fraction.
 PART, WHOLE = 4, 5
 BANDS, ROWS = 32, 4
 SEED = 42
+#: Buckets of so many nodes are thinned first.
+CROWD = 64
+#: Bits of a crowded node's parity.
+PARITY = 1024
 #: Bands of each step.
 STEPS = ((0, 2), (2, 8), (8, BANDS))
 PIVOTS = 1
@@ -74,8 +85,16 @@ def node_of(data: bytes) -> bytes:
     return hashlib.blake2b(b" ".join(data.lower().split()), digest_size=16).digest()
 
 
+def digests(found: set[bytes]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in found), np.uint64, len(found))
+
+
 def min_hashes(found: set[bytes]) -> np.ndarray:
-    hashes = np.fromiter((xxhash.xxh64_intdigest(s, SEED) & 0xFFFFFFFF for s in found), np.uint32, len(found))
+    return _min_hashes(digests(found))
+
+
+def _min_hashes(wide: np.ndarray) -> np.ndarray:
+    hashes = wide.astype(np.uint32)  # the lower half
     least = np.full(BANDS * ROWS, 0xFFFFFFFF, np.uint32)
     for at in range(0, len(hashes), 256):
         np.minimum(least, (hashes[at : at + 256, None] * _FACTORS + _OFFSETS).min(axis=0), out=least)
@@ -98,17 +117,19 @@ def _sketch(least: np.ndarray) -> list[int]:
     return np.concatenate(planes).view(np.int64).tolist()
 
 
-def _signatures(texts: list[str | None]) -> tuple[list[bytes], list[int], list[list[int]], list[list[int]]]:
-    nodes, sizes, keys, sketches = [], [], [], []
+def _signatures(texts: list[str | None]) -> tuple[list[bytes], list[int], list[int | None], list[list[int]], list[list[int]]]:
+    nodes, sizes, points, keys, sketches = [], [], [], [], []
     for t in texts:
         data = raw(t)
         found = shingles(data)
-        least = min_hashes(found) if found else None
+        wide = digests(found)
+        least = _min_hashes(wide) if found else None
         nodes.append(node_of(data))
+        points.append(signed(majority(wide)) if found else None)
         sizes.append(len(found))
         keys.append([] if least is None else _bands(least))
         sketches.append([] if least is None else _sketch(least))
-    return nodes, sizes, keys, sketches
+    return nodes, sizes, points, keys, sketches
 
 
 def likely(a: str, b: str) -> Column:
@@ -121,6 +142,17 @@ def likely(a: str, b: str) -> Column:
     return unequal <= BANDS * ROWS - LEAST_EQUAL
 
 
+def _parity(wide: np.ndarray) -> list[int]:
+    """``PARITY`` bits, 64 a signed integer; a bit tells whether an odd number of the hashes fall on it."""
+    odd = np.bincount((wide >> np.uint64(32)).astype(np.int64) % PARITY, minlength=PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
+
+def apart(a: str, b: str) -> Column:
+    """Bits in which the parities in columns ``a`` and ``b`` differ; the sets differ by as many shingles at least."""
+    return reduce(Column.__add__, [F.bit_count(F.col(a)[k].bitwiseXOR(F.col(b)[k])) for k in range(PARITY // 64)])
+
+
 def small(df: DataFrame) -> DataFrame:
     """``df`` with a broadcast hint if its counted rows are few."""
     return F.broadcast(df) if df.count() <= BROADCAST_KEYS else df
@@ -155,7 +187,69 @@ def _active(nodes: DataFrame) -> DataFrame:
     shared = materialize(bands.select("band"))
     held = nodes.select("node", F.posexplode("bands").alias("at", "band")).join(small(shared), "band", "left_semi")
     held = held.groupBy("node").agg(F.collect_list(F.struct("at", "band")).alias("shared"))  # at most BANDS
-    return materialize(nodes.drop("bands").join(held, "node"))
+    return materialize(nodes.drop("bands", "fp").join(held, "node"))
+
+
+def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keys, texts = batch.columns
+        for key, text in zip(keys.to_pylist(), texts.to_pylist(), strict=True):
+            found = digests(shingles(raw(text))).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), key)), pa.array(found)], names=["key", "hash"])
+
+
+def _parities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        nodes, texts = batch.columns
+        made = [_parity(digests(shingles(raw(t)))) for t in texts.to_pylist()]
+        yield pa.RecordBatch.from_arrays([nodes, pa.array(made, pa.list_(pa.int64()))], names=["node", "parity"])
+
+
+def _thinned(active: DataFrame, texts: DataFrame) -> DataFrame:
+    """``active`` without the bands in crowded buckets where the node can't have a link, and with the parity of nodes that stay in one.
+
+    Of a node's shingles, some are in no other node of any crowded bucket; the others are all that it may have in common with one. A
+    similarity of 0.8 takes 4 / 9 of both sizes in common, and the other's size is no less than the least in the bucket and 0.8 of the own.
+    """
+    held = active.select("node", "size", F.explode("shared").alias("own")).select("node", "size", F.col("own.at").alias("at"), F.col("own.band").alias("band"))
+    full = materialize(held.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= CROWD).select("band"))
+    if full.isEmpty():
+        return active.withColumn("parity", F.lit(None).cast("array<bigint>"))
+    crowd = materialize(held.join(small(full), "band", "left_semi").withColumn("key", F.xxhash64("node")))
+    n = crowd.count()
+    while n:
+        members = crowd.select("node", "key").distinct()
+        rows = texts.join(small(members), "node").select("key", "text").mapInArrow(_hashes, "key bigint, hash bigint")
+        once = rows.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("key")).filter("n = 1")
+        alone = materialize(once.groupBy("key").agg(F.count(F.lit(1)).alias("alone")))
+        least = materialize(crowd.groupBy("band").agg(F.min("size").alias("least")))
+        common = F.col("size") - F.coalesce("alone", F.lit(0))
+        other = F.greatest(WHOLE * F.col("least"), PART * F.col("size"))
+        may = WHOLE * (WHOLE + PART) * common >= PART * (WHOLE * F.col("size") + other)
+        crowd = materialize(crowd.join(small(alone), "key", "left").join(small(least), "band").filter(may).select(*crowd.columns))
+        before, n = n, crowd.count()
+        if 10 * n > 9 * before:
+            break
+    left = held.join(small(full), "band", "left_anti").unionByName(crowd.drop("key"))
+    left = left.groupBy("node").agg(F.collect_list(F.struct("at", "band")).alias("shared"))
+    parities = texts.join(small(crowd.select("node").distinct()), "node").select("node", "text").mapInArrow(_parities, "node binary, parity array<bigint>")
+    return materialize(active.drop("shared").join(left, "node").join(parities, "node", "left"))
+
+
+def _close(nodes: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame] | None:
+    """Pairs that method 8 proposes and those that their texts confirm; None without any.
+
+    Fingerprints of the shingle sets are linked through the vantage-point tree; each node meets the least node of its component.
+    """
+    points = nodes.filter("fp IS NOT NULL").select("node", "fp")
+    several = points.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min(F.hex("node")).alias("least"))
+    several = materialize(several)
+    roots = materialize(linked_points(several))
+    group = several.join(roots.withColumnRenamed("node", "point"), F.col("fp") == F.col("point"), "left").select("fp", "n", "least", F.coalesce("root", "fp").alias("group"))
+    heads = group.groupBy("group").agg(F.sum("n").alias("members"), F.min("least").alias("head")).filter("members > 1")
+    headed = materialize(group.join(heads, "group").select("fp", F.unhex("head").alias("b")))
+    pairs = materialize(points.join(small(headed), "fp").filter("node <> b").select(F.col("node").alias("a"), "b"))
+    return None if pairs.isEmpty() else (pairs, materialize(confirmed(pairs, texts)))
 
 
 def _texts(docs: DataFrame, active: DataFrame) -> DataFrame:
@@ -182,12 +276,17 @@ def _links(docs: DataFrame, nodes: DataFrame) -> DataFrame | None:
         return None
     texts = materialize(_texts(docs, active))
     roots = seen = None
+    close = _close(active.select("node").join(nodes.select("node", "fp"), "node"), texts)
+    if close:
+        seen, new = close
+        roots = None if new.isEmpty() else materialize(connected(new))
+    active = _thinned(active, texts)
     for first, last in STEPS:
         sets, pivots = None, PIVOTS
         while True:
             if sets is None:  # roots meet nodes, not bands
                 own = F.explode(F.filter("shared", lambda s: (s["at"] >= first) & (s["at"] < last)))
-                sets = _rooted(active, roots).select("node", "size", "sketch", "root", own.alias("own")).select("node", "size", "sketch", "root", F.col("own.band").alias("band"))
+                sets = _rooted(active, roots).select("node", "size", "sketch", "parity", "root", own.alias("own")).select("node", "size", "sketch", "parity", "root", F.col("own.band").alias("band"))
             else:
                 sets = _rooted(sets.drop("root"), roots)
             each = sets.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"))
@@ -201,11 +300,12 @@ def _links(docs: DataFrame, nodes: DataFrame) -> DataFrame | None:
             chance = F.pmod(F.xxhash64("node", F.lit(pivots)), F.lit(1 << 30)) / F.lit(1 << 30)
             chosen = (chance * F.col("n") < pivots) | (F.col("n") <= pivots)
             sets = materialize(sets.join(state.drop("within"), "band").withColumn("pivot", chosen).drop("n"))
-            against = sets.filter("pivot").select("band", *[F.col(c).alias(f"b_{c}") for c in ("node", "size", "root", "sketch")])
+            against = sets.filter("pivot").select("band", *[F.col(c).alias(f"b_{c}") for c in ("node", "size", "root", "sketch", "parity")])
             sizes = F.greatest("size", "b_size") * PART <= F.least("size", "b_size") * WHOLE
+            differ = F.coalesce((WHOLE + PART) * apart("parity", "b_parity") <= (WHOLE - PART) * (F.col("size") + F.col("b_size")), F.lit(True))
             once = ~F.col("pivot") | (F.col("node") > F.col("b_node"))
             met = sets.withColumnRenamed("band", "at").join(
-                against, (F.col("at") == F.col("band")) & (F.col("root") != F.col("b_root")) & once & sizes & likely("sketch", "b_sketch")
+                against, (F.col("at") == F.col("band")) & (F.col("root") != F.col("b_root")) & once & sizes & likely("sketch", "b_sketch") & differ
             )
             pairs = met.select(F.col("node").alias("a"), F.col("b_node").alias("b")).distinct()
             if seen is not None:
@@ -229,8 +329,8 @@ def _links(docs: DataFrame, nodes: DataFrame) -> DataFrame | None:
 def components(docs: DataFrame) -> DataFrame:
     """doc_id, node, component_id for every row of ``docs``."""
     ready(docs.sparkSession)
-    rows = materialize(add_columns(docs.select("doc_id", "text"), "node binary, size int, bands array<bigint>, sketch array<bigint>", _signatures).drop("text"))
-    nodes = materialize(rows.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("size").alias("size"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
+    rows = materialize(add_columns(docs.select("doc_id", "text"), "node binary, size int, fp bigint, bands array<bigint>, sketch array<bigint>", _signatures).drop("text"))
+    nodes = materialize(rows.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
     ids = nodes.select("node", F.col("first_id").alias("component_id"))
     roots = _links(docs, nodes)
     if roots is not None:

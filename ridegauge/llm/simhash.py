@@ -47,6 +47,11 @@ def fingerprint(data: bytes) -> int:
         starts = [0, *accumulate(s + 1 for s in sizes)]
         digest = xxhash.xxh64_intdigest
         hashes = np.array([digest(joined[a : b - 1], SEED) for a, b in zip(starts, starts[SHINGLE:], strict=False)], np.uint64)
+    return majority(hashes)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that more than half of ``hashes`` have."""
     n, counts = len(hashes), np.zeros(64, np.int64)
     for at in range(0, n, 1 << 16):
         part = hashes[at : at + (1 << 16)]
@@ -54,14 +59,14 @@ def fingerprint(data: bytes) -> int:
     return int.from_bytes(np.packbits(2 * counts > n, bitorder="little").tobytes(), "little")
 
 
-def _signed(value: int) -> int:
+def signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
 def fingerprints(docs: DataFrame, name: str = "fp") -> DataFrame:
     """``docs`` with the fingerprint as a signed integer of 64 bits in a further column."""
     ready(docs.sparkSession)
-    return add_columns(docs, f"`{name}` bigint", lambda texts: ([_signed(fingerprint(raw(t))) for t in texts],))
+    return add_columns(docs, f"`{name}` bigint", lambda texts: ([signed(fingerprint(raw(t))) for t in texts],))
 
 
 class Tree:
@@ -158,28 +163,34 @@ def _forest(shard: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": points[linked].view(np.int64), "b": points[label[linked]].view(np.int64)})
 
 
-def components(docs: DataFrame, radius: int = RADIUS, shard_points: int = SHARD_POINTS) -> DataFrame:
-    """doc_id, fp, component_id for every row of ``docs``."""
-    spark = ready(docs.sparkSession)
-    rows = materialize(fingerprints(docs.select("doc_id", "text")).select("doc_id", "fp"))
-    nodes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    count = nodes.count()
+def linked_points(points: DataFrame, radius: int = RADIUS, shard_points: int = SHARD_POINTS) -> DataFrame:
+    """node, root of the distinct fingerprints ``fp`` in ``points`` that have another within ``radius``, directly or by others."""
+    spark = points.sparkSession
+    count = points.count()
     # Small inputs use more and smaller shards, so that all partitions have one.
     shards = max(count / shard_points, min(partitions(spark), count / LEAST_SHARD_POINTS), 1)
     depth = int(np.ceil(np.log2(shards)))
     wanted = min(SAMPLE_A_SHARD * 2**depth, count // 4)
-    sample = [r["fp"] for r in hash_sample(nodes.select("fp"), wanted, "fp").orderBy("fp").collect()] if depth else []
+    sample = [r["fp"] for r in hash_sample(points.select("fp"), wanted, "fp").orderBy("fp").collect()] if depth else []
     tree = Tree(np.array(sample, np.int64).view(np.uint64), depth)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            points = batch.column(0).to_numpy(zero_copy_only=False)
-            shard, at, home = tree.route(np.ascontiguousarray(points).view(np.uint64), radius)
-            yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), pa.array(points[at]), pa.array(home)], names=["shard", "fp", "home"])
+            fps = batch.column(0).to_numpy(zero_copy_only=False)
+            shard, at, home = tree.route(np.ascontiguousarray(fps).view(np.uint64), radius)
+            yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), pa.array(fps[at]), pa.array(home)], names=["shard", "fp", "home"])
 
-    dealt = nodes.select("fp").mapInArrow(deal, "shard int, fp bigint, home boolean")
+    dealt = points.select("fp").mapInArrow(deal, "shard int, fp bigint, home boolean")
     links = dealt.groupBy("shard").applyInPandas(_forest, "a bigint, b bigint")
-    roots = connected(materialize(links.distinct()))
+    return connected(materialize(links.distinct()))
+
+
+def components(docs: DataFrame, radius: int = RADIUS, shard_points: int = SHARD_POINTS) -> DataFrame:
+    """doc_id, fp, component_id for every row of ``docs``."""
+    ready(docs.sparkSession)
+    rows = materialize(fingerprints(docs.select("doc_id", "text")).select("doc_id", "fp"))
+    nodes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    roots = linked_points(nodes, radius, shard_points)
     linked = roots.join(nodes, roots["node"] == nodes["fp"]).select("fp", "root", "first_id")
     smallest = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))
     of_linked = linked.join(smallest, "root").select("fp", "component_id")

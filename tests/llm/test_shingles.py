@@ -98,3 +98,53 @@ def test_sketches_count_equal_low_bits(spark):
         want.append(int((a % 8 == b % 8).sum()) >= shingles.LEAST_EQUAL)
     got = spark.createDataFrame(rows, "k int, a array<bigint>, b array<bigint>").select("k", shingles.likely("a", "b").alias("ok")).orderBy("k").collect()
     assert [r["ok"] for r in got] == want and 0 < sum(want) < 40
+
+
+def crowd() -> list[tuple]:
+    """Near copies of one text of which most are too far from each other for a link, among close ones."""
+    rng = random.Random(5)
+    base = sentence(rng, 150).split()
+    rows = []
+    for k in range(160):
+        new = list(base)
+        for at in rng.sample(range(150), (1, 2, 7, 8, 9, 10, 12, 14)[k % 8]):
+            new[at] = f"own{k}x{at}"
+        rows.append((k, " ".join(new)))
+    return rows
+
+
+def test_a_crowd_is_not_compared_pair_by_pair(spark, monkeypatch):
+    compared, confirmed = [], shingles.confirmed
+    monkeypatch.setattr(shingles, "confirmed", lambda pairs, texts: compared.append(pairs.count()) or confirmed(pairs, texts))
+    rows = crowd()
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    kept = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").select("doc_id").collect()}
+    assert kept == first_ids(rows) and len(kept) > 60
+    assert sum(compared) < 12 * len(rows), compared
+
+
+def test_method_8_proposes_the_closest_copies(spark, monkeypatch):
+    found, close = [], shingles._close
+    monkeypatch.setattr(shingles, "_close", lambda nodes, texts: found.append(close(nodes, texts)) or found[-1])
+    rng = random.Random(6)
+    texts = [sentence(rng, 400) for _ in range(5)]
+    rows = list(enumerate([t + end for t in texts for end in ("", " more")] + ["alone", ""]))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").select("doc_id").collect()}
+    assert kept == {0, 2, 4, 6, 8, 10, 11}
+    ((pairs, confirmed),) = found
+    assert pairs.count() == confirmed.count() == 5
+
+
+def test_parities_differ_in_no_more_bits_than_sets(spark):
+    rng = random.Random(7)
+    rows = []
+    for k in range(40):
+        words = sentence(rng, 60 + 40 * k).split()
+        near = list(words)
+        for at in rng.sample(range(len(words)), k):
+            near[at] = f"other{k}"
+        a, b = (shingles.shingles(" ".join(w).encode()) for w in (words, near))
+        rows.append((len(a ^ b), shingles._parity(shingles.digests(a)), shingles._parity(shingles.digests(b))))
+    got = spark.createDataFrame(rows, "n int, a array<bigint>, b array<bigint>").select("n", shingles.apart("a", "b").alias("bits")).collect()
+    assert all(r["bits"] <= r["n"] and r["bits"] >= 0.6 * r["n"] for r in got if r["n"] < 400)
