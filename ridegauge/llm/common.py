@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -66,6 +67,13 @@ def with_columns(batch: pa.RecordBatch, new: dict[str, pa.Array]) -> pa.RecordBa
     return pa.RecordBatch.from_arrays([*batch.columns, *new.values()], names=[*batch.schema.names, *new])
 
 
+def give_back() -> None:
+    """Return freed memory to the system. Spark reuses Python workers, and their allocators keep the pages of the largest tasks they ran."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc only
+        trim(0)
+
+
 def slices(batches: Iterable[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
@@ -97,5 +105,7 @@ def add_columns(df: DataFrame, fields: str, of_texts, text: str = "text") -> Dat
         for batch in slices(batches):
             made = of_texts(texts_of(batch, text))
             yield with_columns(batch, {f.name: pa.array(v, f.type) for f, v in zip(target, made, strict=True)})
+        batch = made = None
+        give_back()
 
     return df.mapInArrow(run, StructType([*df.schema.fields, *new.fields]))

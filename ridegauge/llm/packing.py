@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from ridegauge.llm.common import raw, ready, slices, table, texts_of
+from ridegauge.llm.common import give_back, raw, ready, slices, table, texts_of
 from ridegauge.llm.words import WordCoder
 
 WINDOW = 2048
@@ -157,7 +157,10 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, shortest: int =
                 held += len(ids[-1])
             if held >= round_tokens:
                 yield packed(last=False)
+                give_back()
         yield packed(last=True)
+        batch = coded = c = coder = names = ids = carried = None
+        give_back()
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 

@@ -37,7 +37,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ridegauge.llm.common import add_columns, fresh, materialize, raw, ready
+from ridegauge.llm.common import add_columns, fresh, give_back, materialize, raw, ready
 from ridegauge.llm.links import connected
 from ridegauge.llm.simhash import linked_points, majority, signed
 
@@ -170,6 +170,7 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 kept.append(i)
         kept = pa.array(kept, pa.int64())
         yield pa.RecordBatch.from_arrays([a.take(kept), b.take(kept)], names=["a", "b"])
+    give_back()
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -196,6 +197,7 @@ def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, text in zip(keys.to_pylist(), texts.to_pylist(), strict=True):
             found = digests(shingles(raw(text))).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), key)), pa.array(found)], names=["key", "hash"])
+    give_back()
 
 
 def _parities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,6 +205,7 @@ def _parities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nodes, texts = batch.columns
         made = [_parity(digests(shingles(raw(t)))) for t in texts.to_pylist()]
         yield pa.RecordBatch.from_arrays([nodes, pa.array(made, pa.list_(pa.int64()))], names=["node", "parity"])
+    give_back()
 
 
 def _thinned(active: DataFrame, texts: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ other word is encoded by the tokenizer as it stands. For a tokenizer of another
 from __future__ import annotations
 
 import json
+import os
 import re
 
 import numpy as np
@@ -56,6 +57,7 @@ class WordCoder:
     """Encodes batches of whole texts. ``start`` and ``size`` place a word's ids in ``ids``."""
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; each further thread keeps memory of its own
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.tokenizer = Tokenizer.from_file(path)
