@@ -16,8 +16,13 @@ BATCH_BYTES = 8 << 20
 
 
 def ready(spark: SparkSession) -> SparkSession:
-    """Session settings that bound what one Arrow batch holds, however long the texts are."""
+    """Session settings that bound what one Arrow batch holds, however long the texts are, and what stays on disk.
+
+    Shuffle files go when the query that made them ends; without that they stay until the driver collects garbage, which for a long row of
+    written tables is their sum. A plan that is run once more makes them again.
+    """
     prepare(spark)
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark
@@ -34,6 +39,13 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of tables of :func:`materialize` that nothing reads any more."""
+    for df in tables:
+        folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.inputFiles()[0].rsplit("/", 1)[0])
+        folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def id_remainder(doc_id: Column, m: int) -> Column:
     """crc32 of the id as text, modulo ``m``; a null id counts as remainder 0."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % m, F.lit(0))

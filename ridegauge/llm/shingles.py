@@ -37,7 +37,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ridegauge.llm.common import add_columns, fresh, give_back, materialize, raw, ready
+from ridegauge.llm.common import add_columns, discard, fresh, give_back, materialize, raw, ready
 from ridegauge.llm.links import connected
 from ridegauge.llm.simhash import linked_points, majority, signed
 
@@ -160,7 +160,7 @@ def small(df: DataFrame) -> DataFrame:
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        a, b, a_texts, b_texts = batch.columns
+        a, b, a_texts, b_texts, *rest = batch.columns
         ids = b.to_pylist()
         kept, last, pivot = [], None, set()
         for i in sorted(range(len(ids)), key=ids.__getitem__):  # one pivot's shingles at a time
@@ -169,17 +169,18 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if similar(shingles(raw(a_texts[i].as_py())), pivot):
                 kept.append(i)
         kept = pa.array(kept, pa.int64())
-        yield pa.RecordBatch.from_arrays([a.take(kept), b.take(kept)], names=["a", "b"])
+        yield pa.RecordBatch.from_arrays([c.take(kept) for c in (a, b, *rest)], names=["a", "b", *batch.schema.names[4:]])
     give_back()
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose texts (node, text) are similar."""
+    """The pairs (a, b and further columns) whose texts (node, text) are similar."""
+    rest = [c for c in pairs.columns if c not in ("a", "b")]
     copies = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / PAIRS_A_TASK).cast("int").alias("copies"))
     pivots = copies.join(texts, F.col("b") == F.col("node")).select("b", F.col("text").alias("b_text"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
     dealt = pairs.join(copies, "b").withColumn("copy", F.pmod(F.xxhash64("a"), F.col("copies")).cast("int")).drop("copies")
-    rows = dealt.join(texts, F.col("a") == F.col("node")).select("a", "b", "copy", F.col("text").alias("a_text")).join(pivots, ["b", "copy"])
-    return rows.select("a", "b", "a_text", "b_text").mapInArrow(_confirm, "a binary, b binary")
+    rows = dealt.join(texts, F.col("a") == F.col("node")).select("a", "b", *rest, "copy", F.col("text").alias("a_text")).join(pivots, ["b", "copy"])
+    return rows.select("a", "b", "a_text", "b_text", *rest).mapInArrow(_confirm, pairs.select("a", "b", *rest).schema)
 
 
 def _active(nodes: DataFrame) -> DataFrame:
@@ -272,6 +273,13 @@ def _rooted(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
     return rows.join(named, F.col("node") == F.col("linked"), "left").withColumn("root", F.coalesce("of_linked", "node")).drop("linked", "of_linked")
 
 
+def _lifted(roots: DataFrame, merged: DataFrame) -> DataFrame:
+    """``roots`` after those of their roots, and of nodes without links so far, that ``merged`` hangs on smaller ones."""
+    up = small(merged.select(F.col("node").alias("old"), F.col("root").alias("to")))
+    moved = roots.join(up, F.col("root") == F.col("old"), "left").select("node", F.coalesce("to", "root").alias("root"))
+    return moved.unionByName(merged).distinct()
+
+
 def _links(docs: DataFrame, nodes: DataFrame) -> DataFrame | None:
     """node, root of all nodes that have a link; None if no node shares a band with another."""
     active = _active(nodes)
@@ -285,7 +293,7 @@ def _links(docs: DataFrame, nodes: DataFrame) -> DataFrame | None:
         roots = None if new.isEmpty() else materialize(connected(new))
     active = _thinned(active, texts)
     for first, last in STEPS:
-        sets, pivots = None, PIVOTS
+        sets, pivots, old = None, PIVOTS, []
         while True:
             if sets is None:  # roots meet nodes, not bands
                 own = F.explode(F.filter("shared", lambda s: (s["at"] >= first) & (s["at"] < last)))
@@ -303,6 +311,8 @@ def _links(docs: DataFrame, nodes: DataFrame) -> DataFrame | None:
             chance = F.pmod(F.xxhash64("node", F.lit(pivots)), F.lit(1 << 30)) / F.lit(1 << 30)
             chosen = (chance * F.col("n") < pivots) | (F.col("n") <= pivots)
             sets = materialize(sets.join(state.drop("within"), "band").withColumn("pivot", chosen).drop("n"))
+            discard(state, *old)
+            old = [sets]
             against = sets.filter("pivot").select("band", *[F.col(c).alias(f"b_{c}") for c in ("node", "size", "root", "sketch", "parity")])
             sizes = F.greatest("size", "b_size") * PART <= F.least("size", "b_size") * WHOLE
             differ = F.coalesce((WHOLE + PART) * apart("parity", "b_parity") <= (WHOLE - PART) * (F.col("size") + F.col("b_size")), F.lit(True))
@@ -310,18 +320,19 @@ def _links(docs: DataFrame, nodes: DataFrame) -> DataFrame | None:
             met = sets.withColumnRenamed("band", "at").join(
                 against, (F.col("at") == F.col("band")) & (F.col("root") != F.col("b_root")) & once & sizes & likely("sketch", "b_sketch") & differ
             )
-            pairs = met.select(F.col("node").alias("a"), F.col("b_node").alias("b")).distinct()
+            pairs = met.select(F.col("node").alias("a"), F.col("b_node").alias("b"), "root", "b_root").distinct()
             if seen is not None:
                 ends = [F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")]
-                pairs = pairs.select("a", "b", *ends).join(seen.select(*ends), ["low", "high"], "left_anti").select("a", "b")
+                pairs = pairs.select("*", *ends).join(seen.select(*ends), ["low", "high"], "left_anti").drop("low", "high")
             pairs = materialize(pairs)
-            seen = pairs if seen is None else seen.unionByName(pairs)
+            seen = pairs.select("a", "b") if seen is None else seen.unionByName(pairs.select("a", "b"))
             if not pairs.isEmpty():
                 new = materialize(confirmed(pairs, texts))
                 if not new.isEmpty():
-                    # Earlier links are known by their roots.
-                    links = new if roots is None else new.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
-                    roots = materialize(connected(links))
+                    # Earlier links are known by their roots, so only roots are linked.
+                    merged = materialize(connected(new.select(F.col("root").alias("a"), F.col("b_root").alias("b"))))
+                    last_roots, roots = roots, merged if roots is None else materialize(_lifted(roots, merged))
+                    discard(new, *([] if last_roots is None else [last_roots, merged]))
             if pivots == 1 << 30:
                 break
             sets = sets.filter("NOT pivot").drop("pivot")

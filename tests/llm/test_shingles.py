@@ -148,3 +148,12 @@ def test_parities_differ_in_no_more_bits_than_sets(spark):
         rows.append((len(a ^ b), shingles._parity(shingles.digests(a)), shingles._parity(shingles.digests(b))))
     got = spark.createDataFrame(rows, "n int, a array<bigint>, b array<bigint>").select("n", shingles.apart("a", "b").alias("bits")).collect()
     assert all(r["bits"] <= r["n"] and r["bits"] >= 0.6 * r["n"] for r in got if r["n"] < 400)
+
+
+def test_roots_are_lifted_to_those_that_their_roots_hang_on(spark):
+    make = lambda rows: spark.createDataFrame(rows, "node string, root string")
+    roots = make([("b", "b"), ("c", "b"), ("d", "d"), ("e", "d"), ("y", "y"), ("z", "y")])
+    merged = make([("d", "a"), ("b", "a"), ("a", "a")])  # a and two roots; y stays
+    want = {"a": "a", "b": "a", "c": "a", "d": "a", "e": "a", "y": "y", "z": "y"}
+    got = shingles._lifted(roots, merged).collect()
+    assert len(got) == len(want) and {r["node"]: r["root"] for r in got} == want
