@@ -16,9 +16,10 @@ from pyspark.util import inheritable_thread_target
 from ridegauge.config import BacktestConfig
 from ridegauge.functions.calendar import is_us_holiday
 from ridegauge.functions.stats import clip0
-from ridegauge.operators import features as ft
+from ridegauge.operators import boosting, features as ft
 from ridegauge.operators.backtest import baseline_backtest, baseline_forecast
 from ridegauge.operators.intervals import fill_intervals
+from ridegauge.operators.keyed import rows_at_most
 from ridegauge.operators.linear import fleet_ols
 from ridegauge.session import cut_lineage
 
@@ -315,6 +316,21 @@ def tree_input(rows: DataFrame) -> DataFrame:
     return cut_lineage(rows.coalesce(wanted)) if wanted < rows.rdd.getNumPartitions() else rows
 
 
+#: Rows up to which a model is fitted in one task (some 21 bytes a row on the driver and in the task, and a few columns more there).
+TASK_ROWS = 2_000_000
+
+
+def fit_all(rows: DataFrame, many: Sequence[dict], columns: Sequence[str] = TREE_COLUMNS, seed: int = 42) -> list:
+    """A model for each parameter set; all have ``transform``, which adds ``_p``.
+
+    Rows that fit in a task are boosted there, a task for each model, which takes a job in all instead of several for every level of every
+    tree. A larger table takes the same steps in Spark's trees, whose levels are jobs over all tasks, the models side by side.
+    """
+    if rows_at_most(rows, TASK_ROWS):
+        return boosting.fit(rows, many, columns)
+    return side_by_side([lambda p=p: fit_trees(rows, p, columns, seed) for p in many])
+
+
 def fit_trees(rows: DataFrame, params: dict, columns: Sequence[str] = TREE_COLUMNS, seed: int = 42) -> PipelineModel:
     """Distributed boosted trees over pooled, encoded training rows."""
     assembler = VectorAssembler(inputCols=list(columns), outputCol="_x", handleInvalid="error")
@@ -341,11 +357,10 @@ def tune_families(
     if not valid.isEmpty():
         train = tree_input(split.filter("role = 'train'"))
 
-        def score(params: dict) -> float:
-            predicted = fit_trees(train, params, columns, seed).transform(valid)
-            return predicted.agg(F.avg(F.abs(F.col("_p") - F.col("target")))).collect()[0][0]
+        def score(model) -> float:
+            return model.transform(valid).agg(F.avg(F.abs(F.col("_p") - F.col("target")))).collect()[0][0]
 
-        found = side_by_side([lambda p=p: score(p) for p in distinct])
+        found = side_by_side([lambda m=m: score(m) for m in fit_all(train, distinct, columns, seed)])
         scores = {_values(p): s for p, s in zip(distinct, found, strict=True)}
     schema = "candidate_rank int, selected boolean, validation_mae double, learning_rate double, max_depth double, n_estimators double"
     out = {}
@@ -369,7 +384,7 @@ def _values(params: dict) -> tuple:
 Predict = Callable[[DataFrame], DataFrame]
 
 
-def tree_predictor(model: PipelineModel) -> Predict:
+def tree_predictor(model: PipelineModel | boosting.Forest) -> Predict:
     """Adds ``prediction`` to feature rows; null features count as zero, as in encoding."""
 
     def predict(rows: DataFrame) -> DataFrame:
@@ -449,9 +464,10 @@ def station_tree_families(panel: DataFrame, horizon: int, params: dict[str, dict
     frame = ft.encode(ft.station_features(panel), "station_id", mapping, "station_code")
     rows = tree_input(ft.training_rows(frame, [c for c in TREE_COLUMNS if c != "station_code"]))
 
+    models = dict(zip(params, fit_all(rows, list(params.values())), strict=True))
+
     def forecast(family: str) -> DataFrame:
-        model = fit_trees(rows, params[family])
-        return predict_recursive(panel, horizon, tree_predictor(model), mapping).withColumns(
+        return predict_recursive(panel, horizon, tree_predictor(models[family]), mapping).withColumns(
             {"model_name": F.lit(family), "implementation": F.lit("spark_gbt")}
         )
 
