@@ -48,7 +48,7 @@ def test_rows_of_one_key_are_made_in_several_tasks(spark, most, monkeypatch):
     assert max(r["count"] for r in tasks) < 30_000
 
 
-@pytest.mark.parametrize("name, joins", [("f03_start_detail", 1)])
+@pytest.mark.parametrize("name, joins", [("f03_start_detail", 1), ("f05_trip_detail", 2)])
 def test_station_lookups_come_last_and_read_columns(spark, name, joins):
     """Above the even shares there are the station lookups only: no parts of timestamps, casts of coordinates or class joins for multiplied rows."""
     top, rest = optimized(QUERIES[name](spark, SF)).split("Repartition", 1)
